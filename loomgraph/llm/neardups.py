@@ -137,25 +137,8 @@ def trie_self_join(bits: np.ndarray, allowed: int) -> list[tuple[int, int]]:
 def _join_batches(allowed: int, ratio: float):
     """Streams rows sorted by band key; joins the rows of one key, drops keys with one row."""
 
-    def groups(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            band = batch.column("band")
-            if band[0] == band[batch.num_rows - 1] and (len(held) == 1 or held[0].column("band")[0] == band[0]):
-                continue  # one key so far
-            whole = pa.Table.from_batches(held).combine_chunks()
-            last = whole.column("band").to_numpy()
-            cut_at = int(np.flatnonzero(last != last[-1])[-1]) + 1
-            yield whole.slice(0, cut_at)
-            held = whole.slice(cut_at).combine_chunks().to_batches()
-        if held:
-            yield pa.Table.from_batches(held)
-
     def run(batches):
-        for t in groups(batches):
+        for t in key_groups(batches, "band"):
             band, salt = t.column("band").to_numpy(), t.column("block").to_numpy()
             edge = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (salt[1:] != salt[:-1]), [True])))
             starts, counts = edge[:-1], np.diff(edge)
@@ -182,17 +165,18 @@ def _join_batches(allowed: int, ratio: float):
     return run
 
 
-def _blocks(rows: DataFrame, blocks: int, hot_share: float) -> DataFrame:
+def split_hot(rows: DataFrame, key: str, spread: str, blocks: int, hot_share: float) -> DataFrame:
     """Adds ``block`` and ``side``. Keys above ``hot_share`` of all rows are split in blocks, and every two
-    blocks meet in a task of their own; a bounded sketch without shuffle names those keys."""
+    blocks meet in a task of their own; a bounded sketch without shuffle names those keys. Rows of side 3
+    are to be compared with each other, rows of side 1 with those of side 2."""
     tracked = int(4 / hot_share)
     top = rows.agg(
-        F.expr(f"approx_top_k(band, {min(1000, int(1 / hot_share))}, {tracked})").alias("t"), F.count(F.lit(1)).alias("n")
+        F.expr(f"approx_top_k({key}, {min(1000, int(1 / hot_share))}, {tracked})").alias("t"), F.count(F.lit(1)).alias("n")
     ).first()
     hot = [x["item"] for x in (top["t"] or []) if x["count"] > max(4096, hot_share * top["n"])]
     if not hot:
         return rows.withColumn("block", F.lit(0)).withColumn("side", F.lit(3))
-    own = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
+    own = F.pmod(F.xxhash64(spread), F.lit(blocks)).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.lit(blocks - 1)),
         lambda o: F.struct(
@@ -200,9 +184,28 @@ def _blocks(rows: DataFrame, blocks: int, hot_share: float) -> DataFrame:
             F.when(o == own, 3).when(own < o, 1).otherwise(2).alias("side"),
         ),
     )
-    is_hot = F.col("band").isin(hot)
     alone = F.array(F.struct(F.lit(0).alias("block"), F.lit(3).alias("side")))
-    return rows.withColumn("p", F.explode(F.when(is_hot, pairs).otherwise(alone))).select("*", "p.block", "p.side").drop("p")
+    return rows.withColumn("p", F.explode(F.when(F.col(key).isin(hot), pairs).otherwise(alone))).select(
+        "*", "p.block", "p.side"
+    ).drop("p")
+
+
+def key_groups(batches, key: str):
+    """Tables of whole groups from batches that are sorted by ``key``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if batch.column(key)[batch.num_rows - 1] == held[0].column(key)[0]:
+            continue  # one key so far
+        whole = pa.Table.from_batches(held).combine_chunks()
+        values = whole.column(key).to_numpy()
+        cut_at = int(np.flatnonzero(values != values[-1])[-1]) + 1
+        yield whole.slice(0, cut_at)
+        held = whole.slice(cut_at).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def sketch_classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -220,7 +223,7 @@ def sketch_classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 def similar_classes(docs: DataFrame, classes: DataFrame, k: int, threshold: float, blocks: int = 16,
                     hot_share: float = 0.001, max_broadcast_keys: int = 1_000_000) -> DataFrame:
     """Pairs ``(a, b, shared, n_a, n_b)`` of class representatives whose similarity is at least ``threshold``."""
-    rows = _blocks(classes.select("rep", "n", "bits", F.explode("bands").alias("band")), blocks, hot_share)
+    rows = split_hot(classes.select("rep", "n", "bits", F.explode("bands").alias("band")), "band", "rep", blocks, hot_share)
     found = (
         rows.repartition("band", "block").sortWithinPartitions("band", "block")
         .mapInArrow(_join_batches(budget(threshold), threshold), "a long, b long")

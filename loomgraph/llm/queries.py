@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leaks, neardups
+from . import leaks, neardups, neighbours
 
 
 def chunk_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,24 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "vectors").select(F.col("vec_id").alias("key"), "model", "vector"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.least("key", "other"), F.greatest("key", "other")
+    return _neighbours(spark, sf_dir).select(a.alias("vec_id_a"), b.alias("vec_id_b")).distinct()
+
+
+def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked neighbours of every vector whose id is divisible by 20, among all vectors."""
+    out = _neighbours(spark, sf_dir).where("key % 20 = 0")
+    return out.select(F.col("key").alias("vec_id"), "rank", F.col("other").alias("neighbour_id"), F.round("cosine", 4).alias("cosine"))
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_search": p3_search,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p8_found": p8_found,
