@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leaks, neardups, neighbours
+from . import leaks, mixing, neardups, neighbours, pieces
 
 
 def chunk_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,31 @@ def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("vec_id"), "rank", F.col("other").alias("neighbour_id"), F.round("cosine", 4).alias("cosine"))
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_oversized(table(spark, sf_dir, "chunks").select(F.col("chunk_key").alias("key"), F.col("body").alias("text"), "kind", "start_line"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where("piece_no = 1").select(F.col("key").alias("chunk_key"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).withColumnRenamed("key", "chunk_key")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p3_found": p3_found,
     "p3_search": p3_search,
     "p6_found": p6_found,
@@ -61,4 +85,6 @@ QUERIES = {
     "p8_items": p8_items,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": "select distinct chunk_key from chunks where length(body) > 4000",
+}
