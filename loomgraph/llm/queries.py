@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leaks, mixing, neardups, neighbours, pieces
+from . import leaks, mixing, neardups, neighbours, pieces, privacy
 
 
 def chunk_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = privacy.sanitise(table(spark, sf_dir, "documents")).select("doc_id", F.explode("spans").alias("s"))
+    return spans.select("doc_id", "s.pii_type", "s.found_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with personal information, their spans replaced by placeholders."""
+    return privacy.sanitise(table(spark, sf_dir, "documents")).select("doc_id", "redacted", F.size("spans").alias("n_spans"))
+
+
 QUERIES = {
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p9_mix": p9_mix,
