@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leaks, mixing, neardups, neighbours, pieces, privacy
+from . import handwritten, leaks, mixing, neardups, neighbours, pieces, privacy
 
 
 def chunk_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,22 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.sanitise(table(spark, sf_dir, "documents")).select("doc_id", "redacted", F.size("spans").alias("n_spans"))
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.classify(table(spark, sf_dir, "documents").where("kind = 'CODE'").select("doc_id", "path", "text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).where("not by_hand").select("doc_id")
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every code file with its notice and the forest's probability."""
+    return _files(spark, sf_dir).select("doc_id", "notice", F.round("probability", 3).alias("probability"), "by_hand")
+
+
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p10_found": p10_found,
     "p10_redacted": p10_redacted,
     "p4_found": p4_found,
