@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import handwritten, leaks, mixing, neardups, neighbours, pieces, privacy
+from . import handwritten, leaks, mixing, neardups, neighbours, pieces, privacy, syntax
 
 
 def chunk_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,37 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).select("doc_id", "notice", F.round("probability", 3).alias("probability"), "by_hand")
 
 
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("kind = 'CODE'")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.broken_files(_code(spark, sf_dir)).select("doc_id")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, files that don't parse, and files that a parser reported on their present text, per repository
+    and language."""
+    code = _code(spark, sf_dir)
+    broken = syntax.broken_files(code).select("doc_id", "reason")
+    reports = (
+        table(spark, sf_dir, "parser_errors").where("file_id is not null and checksum is not null")
+        .select("file_id", "checksum").distinct().withColumn("reported", F.lit(1))
+    )
+    same = [F.coalesce(mixing.same_source(F.col("source")), F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang")]
+    return (
+        code.select("doc_id", "file_id", "checksum", "source", "lang").join(broken, "doc_id", "left").join(reports, ["file_id", "checksum"], "left")
+        .groupBy(*same).agg(
+            F.count(F.lit(1)).alias("n_files"), F.count("reason").alias("n_broken"), F.round(F.count("reason") / F.count(F.lit(1)), 6).alias("rate"),
+            *[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("truncated", "conflict", "mismatch", "other")],
+            F.count("reported").alias("n_reported"), F.count(F.when(F.col("reason").isNotNull(), F.col("reported"))).alias("n_broken_reported"),
+        )
+    )
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p10_found": p10_found,
