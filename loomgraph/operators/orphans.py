@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .lineage import cut
 from .skew import salted_join
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _surviving(ref: pd.Series, parent: pd.Series) -> pd.Series:
     """Positions of the bits of ``ref`` that ``parent`` lacks; no parent bitmap keeps all bits."""
     out = []
