@@ -262,10 +262,12 @@ def nearest_config(spark: SparkSession, d: str) -> DataFrame:
     """For every configuration file the one of the same repository with the longest common folder prefix."""
     f = C.files(spark, d).where(F.lower("path").endswith(".config")).select("id", "path", F.split("path", "/")[0].alias("repo"))
     folders = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/")) - 1), lambda i: F.array_join(F.slice(F.split(c, "/"), F.lit(1), i), "/"))
-    a = f.select("id", "repo", F.posexplode(folders(F.col("path"))).alias("depth", "folder"))
-    deep = a.join(f.select(F.col("id").alias("other"), F.explode(folders(F.col("path"))).alias("folder")), "folder").where("id <> other")
-    best = deep.groupBy("id").agg(F.min_by("other", F.struct(-F.col("depth"), "other")).alias("nearest"), (F.max("depth") + 1).alias("common"))
-    return best
+    a = f.select("id", F.posexplode(folders(F.col("path"))).alias("depth", "folder"))
+    # The two smallest ids of each folder are enough: a file's nearest one is the smallest other of its deepest shared folder.
+    first = a.groupBy("folder").agg(F.min("id").alias("one"))
+    second = a.join(first, "folder").where("id <> one").groupBy("folder").agg(F.min("id").alias("two"))
+    shared = a.join(first.join(second, "folder"), "folder").withColumn("other", F.when(F.col("id") == F.col("one"), F.col("two")).otherwise(F.col("one")))
+    return shared.groupBy("id").agg(F.max_by("other", "depth").alias("nearest"), (F.max("depth") + 1).alias("common"))
 
 
 def config_transforms(spark: SparkSession, d: str) -> DataFrame:
