@@ -52,7 +52,7 @@ ALLOWED_PATHS = ("tests/", "test/", "__tests__/", "fixtures/", "mocks/", "docs/"
 def injection_score(text: Column) -> Column:
     """Sum of the weights of all matches, at most 1; 0 for null."""
     total = sum((F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))) * w for _, _, w, p in INJECTIONS), F.lit(0.0))
-    return F.coalesce(F.least(F.lit(1.0), total), F.lit(0.0))
+    return F.when(text.isNull(), 0.0).otherwise(F.least(F.lit(1.0), total))
 
 
 def injection_matches(rows: DataFrame, text: str) -> DataFrame:

@@ -38,12 +38,18 @@ def write_tsv(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Quoted values; empty texts and nulls stay apart."""
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\x00").csv(path)
+    r"""Quoted values; a null text is written as \\N and a text that begins with a backslash gets one more, so
+    that empty texts and nulls stay apart."""
+    mark = lambda c: F.when(F.col(c).isNull(), "\\N").when(F.col(c).startswith("\\"), F.concat(F.lit("\\"), F.col(c))).otherwise(F.col(c)).alias(c)
+    rows.select(*[mark(c) if t == "string" else F.col(c) for c, t in rows.dtypes]).write.mode("overwrite").option("header", True).option("quoteAll", True).option(
+        "escape", '"').option("emptyValue", "").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\x00").csv(path)
+    """What ``write_csv`` wrote, under its schema."""
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\x00").csv(path)
+    back = lambda c: F.when(F.col(c) == "\\N", F.lit(None)).when(F.col(c).startswith("\\"), F.expr(f"substring(`{c}`, 2)")).otherwise(F.col(c)).alias(c)
+    return rows.select(*[back(c) if t == "string" else F.col(c) for c, t in rows.dtypes])
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
