@@ -72,8 +72,8 @@ def head_notice(text: str, lines: int = 12) -> tuple[str, int]:
 
 def literal_share(lines: list[str]) -> float:
     """Share of the characters outside comments that stand in rows of literals; 0 with fewer than four rows."""
-    code = [x.strip() for x in lines if x.strip() and not COMMENT.match(x[:400])]
-    rows = [x for x in code if len(x) < 20_000 and LITERAL_LINE.match(x)]
+    rows = [x.strip() for x in lines if len(x) < 20_000 and LITERAL_LINE.match(x.strip())]
+    code = rows + [x.strip() for x in lines if x.strip() and not LITERAL_LINE.match(x.strip()[:20_000]) and not COMMENT.match(x[:400])]
     return sum(map(len, rows)) / sum(map(len, code)) if len(rows) >= 4 else 0.0
 
 

@@ -7,7 +7,7 @@ bits in which they differ, and stop as soon as these exceed the error budget. Th
 are compared exactly, run by run.
 
 Two sets of similarity s agree in a bit with probability (1 + s) / 2 and share a given band with
-probability s^ROWS; at 0.6 the bands lose 0.3 % of the pairs and the budget of the trie about 0.02 %.
+probability s^ROWS; at 0.6 the bands lose 0.04 % of the pairs and the budget of the trie about 0.01 %.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..operators.components import connected_components
 from ..operators.lineage import cut
 from .words import MUL, Words, mix, slices
 
-BITS, BANDS, ROWS = 128, 24, 3
+BITS, BANDS, ROWS = 128, 32, 3
 #: Differing bits that a pair may have: the mean at the threshold and 3.7 standard deviations more.
 SPREAD = 3.7
 SEEDS = mix(np.arange(1, BITS + 1, dtype=np.uint64) * MUL)

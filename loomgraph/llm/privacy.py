@@ -38,6 +38,7 @@ PHONE = re.compile(r"""(?<![\w.+/-])(?:
   | \d{3}([-.])\d{3}\1\d{4}
   | 0[1-9]\d{1,3}[ /-]\d{2,8}(?:[ -]\d{2,4}){0,3}
 )(?![\w]|[-./]\d)""", re.X)
+DATE = re.compile(r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)")
 SOCIAL = re.compile(r"(?<![\w-])\d{3}([- ])\d{2}\1\d{4}(?![\w-])")
 PERSONAL = re.compile(r"(?<![\w-])(?:\d{2})?(\d{2}(?:0[1-9]|1[0-2])(?:[06][1-9]|[1278]\d|[39][01]))[-+]?(\d{4})(?![\w-])")
 INSURANCE = re.compile(r"(?<!\w)[A-CEGHJ-PQR-TW-Z][A-CEGHJ-NPQR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)")
@@ -58,10 +59,11 @@ WORD = re.compile(rf"(?<![\w`@.\\/$-]){_NAME}(?![\w`(\\/$]|-\w|\.\w)")
 JOIN = re.compile(r"(?:[ \t]+|,[ \t]+|[ \t]+[A-ZÅÄÖÜ]\.[ \t]+)\Z")
 #: Characters around a word within which a protected span counts as nearby.
 NEAR = 60
-#: Disclosure threshold in bits: a word has a protected span nearby 2^BITS times as often as any place has.
-BITS = 4.5
-#: Bits that the other word of a pair must have, and up to how many occurrences a word is too rare to tell.
-OTHER_BITS, RARE = 1.5, 2
+#: Disclosure threshold: the information that a word gives about a protected span nearby, as a part of what
+#: there is to know (the bits from the rate at any place to certainty).
+DISCLOSES = 0.68
+#: What the other word of a pair must have, and up to how many occurrences a word is too rare to tell.
+OTHER, RARE = 0.23, 2
 #: What stands before the first word of a sentence or line.
 OPENING = re.compile(r"(?:^|[.!?]\s|\n)[\s>*#/'\-]*\Z")
 
@@ -102,7 +104,7 @@ def structured(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text, lo, hi):
                 if pattern is PERSONAL and not (_control(m.group(1) + m.group(2)) and re.search(r"[-+]", m.group())):
                     continue
-                if pattern is PHONE and (not 8 <= sum(c.isdigit() for c in m.group()) <= 15 or re.match(r"\d{4}-\d{2}-\d{2}", m.group())):
+                if pattern is PHONE and (not 8 <= sum(c.isdigit() for c in m.group()) <= 15 or DATE.match(m.group())):
                     continue
                 out.append((m.start(), m.end(), kind))
     kept: list[tuple[int, int, str]] = []
@@ -162,20 +164,16 @@ def observe(texts: list[str | None]) -> tuple[dict[str, list[int]], int, int]:
     return seen, places, near
 
 
-def disclosure(n: int, k: int, rate: float) -> float:
-    """Bits that a word seen ``n`` times, ``k`` of them near a protected span, gives about one; smoothed by one."""
-    return math.log2(((k + rate) / (n + 1)) / rate) if rate > 0 else 0.0
-
-
 def revealing(n: int, k: int, opens: int, rate: float) -> float | None:
-    """Bits of a word that may be part of a name, else None. A word that mostly opens sentences or runs is a
-    cue before names ("Customer ..."), not a part of them; a rare word doesn't speak against a name."""
-    bits = disclosure(n, k, rate)
-    bits = max(bits, OTHER_BITS) if n <= RARE else bits
-    return bits if bits >= OTHER_BITS and opens * 2 <= n else None
+    """Disclosure of a word seen ``n`` times, ``k`` of them near a protected span, smoothed by one; None if it
+    can't be part of a name. A word that mostly opens sentences or runs is a cue before names
+    ("Customer ..."), not a part of them; a rare word doesn't speak against a name."""
+    part = math.log2((k + rate) / (n + 1) / rate) / -math.log2(rate)
+    part = max(part, OTHER) if n <= RARE else part
+    return part if part >= OTHER and opens * 2 <= n else None
 
 
-def name_spans(text: str, known: dict[str, float], found: list[tuple[int, int, str]], threshold: float = BITS) -> list[tuple[int, int]]:
+def name_spans(text: str, known: dict[str, float], found: list[tuple[int, int, str]], threshold: float = DISCLOSES) -> list[tuple[int, int]]:
     """Names: pairs of neighbouring words, initial or comma between them, that reveal a person.
 
     One of the two must be above the threshold and the other not speak against it. Of overlapping pairs
@@ -188,9 +186,9 @@ def name_spans(text: str, known: dict[str, float], found: list[tuple[int, int, s
         pairs = []
         for a, b in zip(run[:-1], run[1:], strict=True):
             x, y = (known.get(text[s:e].lower(), -9.0) for s, e in (a, b))
-            if max(x, y) >= threshold and min(x, y) >= OTHER_BITS:
+            if max(x, y) >= threshold and min(x, y) >= OTHER:
                 comma = "," in text[a[1] : b[0]]
-                pairs.append((min(x, threshold) + min(y, threshold) - (0.5 if comma else 0), a[0], b[1]))
+                pairs.append((min(x, threshold) + min(y, threshold) - (0.1 if comma else 0), a[0], b[1]))
         taken: list[tuple[int, int]] = []
         for _, s, e in sorted(pairs, key=lambda p: (-p[0], -p[1])):
             if all(e <= t[0] or s >= t[1] for t in taken):
@@ -205,7 +203,7 @@ def find(text: str, known: dict[str, float]) -> list[tuple[int, int, str]]:
 
 
 def revealing_terms(docs: DataFrame) -> DataFrame:
-    """``(term, bits)`` of all words that don't speak against being part of a name, over all texts."""
+    """``(term, discloses)`` of all words that don't speak against being part of a name, over all texts."""
 
     def run(batches):
         for batch in batches:
@@ -222,11 +220,11 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
     )
     total = counted.where("term = ''").first()
     rate = min(0.5, max(1e-9, total["k"] / total["n"])) if total and total["n"] else 0.5
-    bits = F.log2((F.col("k") + rate) / (F.col("n") + 1) / rate)
-    bits = F.when(F.col("n") <= RARE, F.greatest(bits, F.lit(OTHER_BITS))).otherwise(bits)
+    part = F.log2((F.col("k") + rate) / (F.col("n") + 1) / rate) / -math.log2(rate)
+    part = F.when(F.col("n") <= RARE, F.greatest(part, F.lit(OTHER))).otherwise(part)
     return (
         counted.where((F.col("term") != "") & (F.col("opens") * 2 <= F.col("n")))
-        .select("term", bits.alias("bits")).where(F.col("bits") >= OTHER_BITS)
+        .select("term", part.alias("discloses")).where(F.col("discloses") >= OTHER)
     )
 
 
@@ -244,10 +242,10 @@ def sanitise(docs: DataFrame, max_broadcast_terms: int = 500_000) -> DataFrame:
     texts = docs.where("length(text) > 0").select("doc_id", "text")
     terms = cut(revealing_terms(texts))
     small = terms.count() <= max_broadcast_terms
-    sent = spark.sparkContext.broadcast({r["term"]: r["bits"] for r in terms.toLocalIterator()}) if small else None
+    sent = spark.sparkContext.broadcast({r["term"]: r["discloses"] for r in terms.toLocalIterator()}) if small else None
     if not small:
         words = texts.select("doc_id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}''’-]{2,}', 0)"))).alias("term"))
-        own = words.join(terms, "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "bits"))).alias("known"))
+        own = words.join(terms, "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "discloses"))).alias("known"))
         texts = texts.join(own, "doc_id", "left")
 
     def run(batches):

@@ -109,7 +109,8 @@ def _js_grammar(ts: bool) -> Bracketed:
     binary = "(?:[omx<u=]|>{{1,3}}|<in>|<instanceof>)".replace("{{", "{").replace("}}", "}")
     steps = [(f"{operand}(?:{binary}{operand})*+", "E"), ("EhE:E", "E"), ("<async>?[EQ]A[EKUO]", "E"), ("E(?:P|B|d" + any_ + f"|s)++", "E"), (f"E{binary}E", "E")]
     if ts:
-        steps = [("(?<=[iEP])<[idkBhuUOsno]*>(?!>)|(?<=[iEP])<[idkBhuUOsno]*>(?=>)", ""), ("([PQ]):[idBuhsno]+A", r"\1A"), *steps]
+        generic = ("(?<=[iEP])<[idkBhuUOsno]*>", "")
+        steps = [("(?<=[:<uk])<void>", "i"), generic, generic, generic, ("([PQ]):[idBuhsno]+A", r"\1A"), *steps]
     e = "E"
     exports = "(<export><default>?)?" + ("<declare>?" if ts else "")
     mods = "(<public>|<private>|<protected>|<readonly>|<static>|<abstract>|<async>|<get>|<set>|<declare>)*" if ts else "(<static>|<async>|<get>|<set>)*"
@@ -145,7 +146,7 @@ def _cs_grammar() -> Bracketed:
     operand = f"{pre}*+{prim}{post}*+".replace("{pre}", pre)
     binary = "(?:[omx<u=]|>{1,3})"
     steps = [
-        ("(?<=[iE])<[idkBhP]*>(?!>)|(?<=[iE])<[idkBhP]*>(?=>)", ""), (f"{operand}(?:{binary}{operand})*+", "E"), ("EhE:E", "E"), ("<async>?<static>?[EQ]A[EKUO]", "E"),
+        ("^B+(?=[i" + "".join(_kw(w) for w in _CS_WORDS) + "])", "@"), *[("(?<=[iE])<[idkBhP]*>", "")] * 3, (f"{operand}(?:{binary}{operand})*+", "E"), ("EhE:E", "E"), ("<async>?<static>?[EQ]A[EKUO]", "E"),
         ("E(?:P|B|di)++", "E"), (f"E{binary}[EOU]", "E"),
     ]
     mods = "(<public>|<private>|<protected>|<internal>|<static>|<readonly>|<const>|<async>|<abstract>|<sealed>|<override>|<virtual>|<partial>|<extern>|<unsafe>|<volatile>|<event>)*"
@@ -158,7 +159,7 @@ def _cs_grammar() -> Bracketed:
     simple = "(Eh?E(kE)*|E(kE)*|<yield>?<return>E?|<yield>?<break>|<continue>|<throw>E?|<using>Eh?E|<const>EE(kE)*)"
     stmt = (
         f"{pref}(({simple})?;|K;?|<try>[KE]|<catch>[EQ]?(<when>E)?[KE]|<finally>[KE]|<switch>E[KE]|<using><static>?E;|<namespace>E[KE;]"
-        f"|E*{mods}((<class>|<struct>|<interface>|<record>|<enum>)+E(:E(kE)*)?{where}([KEO];?|;)|<delegate>E?EQ?;|<new>?Eh?E?Q?(:E)?{where}([KEO](E?;)?|;)|Eh?E(kE)*;|E<this>E[KE]|K)|E+)"
+        f"|@?{mods}((<class>|<struct>|<interface>|<record>|<enum>)+E(:E(kE)*)?{where}([KEO];?|;)|<delegate>E?EQ?;|<new>?Eh?E?Q?(:E)?{where}([KE](E?;)?|;)|Eh?E(kE)*;|E<this>E[KE]))"
     )
     stmt = Grammar(_g(stmt))
     obj = _list("(E(:E)?|O|K|U|E<when>E)")
@@ -168,6 +169,7 @@ def _cs_grammar() -> Bracketed:
          "{": [("U", Grammar(";;X"), False), ("O", Grammar(_g(obj)), False), ("K", stmt, True)]},
         stmt, _STATEMENT,
         [(_kw("else"), rf"{_kw('if')}|.*{_kw('else')}"), (_kw("catch"), rf"{_kw('try')}|{_kw('catch')}"), (_kw("finally"), rf"{_kw('try')}|{_kw('catch')}")],
+        _g("(?<=[PQi])U|(?<=<else>)U|(?<=<try>)U|(?<=<finally>)U|(?<=<do>)U"),
     )
 
 
