@@ -43,19 +43,24 @@ def tokens(text: Column) -> Column:
 
     Stays in the JVM; apply ``nfkc`` before it where the corpus needs that. A null text gives null.
     """
-    named = F.regexp_replace(text, r"(?iu)(^|[^\p{L}\p{N}])c#(?=$|[^\p{L}\p{N}])", "$1 csharp ")
-    named = F.regexp_replace(named, r"(?iu)(^|[^\p{L}\p{N}])f#(?=$|[^\p{L}\p{N}])", "$1 fsharp ")
-    named = F.regexp_replace(named, r"(?iu)(^|[^\p{L}\p{N}])vb\.net(?=$|[^\p{L}\p{N}])", "$1 vbnet ")
-    parts = F.filter(F.split(named, r"[^\p{L}\p{N}]+"), lambda p: F.length(p) >= 2)
-
-    def pieces(p: Column) -> Column:
-        spaced = F.regexp_replace(F.regexp_replace(p, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), r"(\p{Lu}+)(\p{Lu}\p{Ll})", "$1 $2")
-        low = F.lower(spaced)
-        for a, b in _HALVES:
-            low = F.regexp_replace(low, f"(^| ){a} {b}(?= |$)", f"$1{a}{b}")
-        return F.concat(F.array(F.lower(p)), F.split(low, " "))
-
-    return F.array_distinct(F.filter(F.flatten(F.transform(parts, pieces)), lambda t: F.length(t) >= 2))
+    named = text
+    # The letters come first and the look back last, so that most places cost one comparison.
+    for pattern, word in (("[cC]#", "csharp"), ("[fF]#", "fsharp"), (r"[vV][bB]\.[nN][eE][tT]", "vbnet")):
+        named = F.regexp_replace(named, rf"{pattern}(?<![\p{{L}}\p{{N}}]{pattern})(?![\p{{L}}\p{{N}}])", f" {word} ")
+    halves = "|".join(f"({a})\x01({b})(?<![\\p{{L}}\\p{{N}}]{a}\x01{b})" for a, b in _HALVES)
+    whole = "".join(f"${i + 1}" for i in range(2 * len(_HALVES)))
+
+    def cut(c: Column) -> Column:
+        return F.split(c, r"[^\p{L}\p{N}]+")
+
+    def both(n: Column) -> Column:
+        # Whole texts are marked at capital letters and cut twice; work on each word would cost many times as much.
+        marked = F.regexp_replace(F.regexp_replace(n, r"([\p{Ll}\p{N}])(\p{Lu})", "$1\x01$2"), r"(\p{Lu}+)(\p{Lu}\p{Ll})", "$1\x01$2")
+        joined = F.regexp_replace(F.lower(marked), rf"(?:{halves})(?![\p{{L}}\p{{N}}])", whole)
+        return F.array_union(cut(F.lower(n)), cut(joined))
+
+    # The lambda binds the named text, so that it is worked out once.
+    return F.filter(F.element_at(F.transform(F.array(named), both), 1), lambda t: F.length(t) >= 2)
 
 
 def query_tokens(query: str) -> list[str]:

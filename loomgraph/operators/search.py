@@ -57,7 +57,8 @@ def scored(cands: DataFrame, degree: DataFrame, query: str, reference: str, weig
     for w in [*needles, *(aliases[w] for w in needles if w in aliases)]:
         some = some | low.contains(w)
     rows = rows.where(some | (F.col("embedding_score") >= MIN_VECTOR))
-    rows = rows.withColumn("lexical_score", T.lexical_score(F.col("text"), T.tokens(F.col("text")), words, phrase))
+    rows = rows.withColumn("_tokens", F.array_intersect(T.tokens(F.col("text")), F.array(*[F.lit(w) for w in needles]) if needles else F.array().cast("array<string>")))
+    rows = rows.withColumn("lexical_score", T.lexical_score(F.col("text"), F.col("_tokens"), words, phrase)).drop("_tokens")
     rows = rows.where((F.col("lexical_score") >= MIN_LEXICAL) | (F.col("embedding_score") >= MIN_VECTOR)).join(ranks, [*groups, "degree"])
     rows = rows.withColumn(
         "semantic_score", F.when(F.col("embedding_score") > 0, F.col("embedding_score") * 0.75 + F.col("lexical_score") * 0.25).otherwise(F.col("lexical_score"))

@@ -139,8 +139,8 @@ def recency_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def text_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Distinct tokens of every file, counted, and a hash of them in order."""
-    toks = F.array_sort(T.tokens(F.col("content")))
-    return C.files(spark, d).select("id", F.size(toks).alias("n_tokens"), F.md5(F.array_join(toks, " ")).alias("tokens_hash"))
+    toks = F.col("toks")
+    return C.files(spark, d).select("id", F.array_sort(T.tokens(F.col("content"))).alias("toks")).select("id", F.size(toks).alias("n_tokens"), F.md5(F.array_join(toks, " ")).alias("tokens_hash"))
 
 
 def structural_boosts(spark: SparkSession, d: str) -> DataFrame:

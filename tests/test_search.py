@@ -21,7 +21,7 @@ def test_tokens_of_identifiers(spark):
 
 def test_query_tokens_follow_the_same_rules(spark):
     for q in ("parseHTTPRequest in C#", "retry the trackerSnapshot", "GraphQL över Sökning", "v2Beta x"):
-        assert T.query_tokens(q) == _tokens(spark, q)
+        assert sorted(T.query_tokens(q)) == sorted(_tokens(spark, q))
 
 
 def test_alias_groups_count_once():
