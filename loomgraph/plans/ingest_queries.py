@@ -138,7 +138,7 @@ def policy_partition(spark: SparkSession, d: str) -> DataFrame:
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     """Chunks between the first and the latest state of each id."""
     rows = table(spark, d, "chunks").where("id is not null")
-    first = rows.groupBy("id").agg(F.min_by("checksum", F.struct("ingested_at", "chunk_key")).alias("checksum")).where("id < 'chunk:s'")
+    first = rows.groupBy("id").agg(F.min_by("checksum", F.struct("ingested_at", "chunk_key")).alias("checksum"))
     last = rows.where("coalesce(status, '') <> 'deleted'").groupBy("id").agg(F.max_by("checksum", F.struct("ingested_at", "chunk_key")).alias("checksum"))
     return I.snapshot_diff(first, last, "id", "checksum").groupBy("change").agg(_count())
 
