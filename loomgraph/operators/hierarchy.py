@@ -7,6 +7,9 @@ level-by-level walk of the whole piece on the cluster instead, with the same res
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,23 @@ from .lineage import cut
 NODE_SCHEMA = (
     "node string, root string, depth int, path array<string>, n_descendants long, back_edges array<string>"
 )
+BELOW_SCHEMA = "node string, descendant string, distance int"
+#: Pairs that a task hands over at once.
+BATCH = 100_000
+
+
+def _reach(start: str, children: dict[str, list[str]]) -> dict[str, int]:
+    """The nodes below ``start`` and how many links away each is; a circle doesn't lead back to ``start``."""
+    seen = {start: 0}
+    todo = deque([start])
+    while todo:
+        node = todo.popleft()
+        for c in children.get(node, ()):
+            if c not in seen:
+                seen[c] = seen[node] + 1
+                todo.append(c)
+    del seen[start]
+    return seen
 
 
 def walk_component(links: list[tuple[str, str]]) -> list[tuple]:
@@ -130,16 +150,8 @@ def _walk_levels(links: DataFrame) -> DataFrame:
     )
 
 
-def hierarchies(edges: DataFrame, parent: str, child: str, max_links: int = 1_000_000,
-                small_group: int = 20_000) -> DataFrame:
-    """Path, depth, root, number of descendants and closing back edges of every node of the links.
-
-    Null or empty ends and repeated links are dropped; other columns of ``edges`` don't matter. Components
-    of up to ``max_links`` links are each walked in one task; small ones share groups of about
-    ``small_group`` links, so there are not more Python calls than needed. Larger ones are walked level
-    by level over the cluster; there the number of descendants of a node without a root is not counted
-    (0) and back edges are not listed. No links give no rows.
-    """
+def _pieces(edges: DataFrame, parent: str, child: str, max_links: int, small_group: int) -> tuple[DataFrame, DataFrame | None]:
+    """The links of components for one task, with their group ``_g``, and those of larger ones if there are any."""
     links = cut(
         edges.select(F.col(parent).alias("parent"), F.col(child).alias("child"))
         .where("parent <> '' and child <> ''").distinct()
@@ -151,17 +163,69 @@ def hierarchies(edges: DataFrame, parent: str, child: str, max_links: int = 1_00
     total = tagged.count()
     groups = max(1, total // small_group + 1)
     small = tagged.join(sizes.where(F.col("links") <= max_links).select("component"), "component")
-    out = (
-        small.withColumn("_g", F.pmod(F.xxhash64("component"), F.lit(groups)))
-        .groupBy("_g").applyInPandas(lambda pdf: _walk(pdf), NODE_SCHEMA)
-    )
-    if not big.isEmpty():
-        out = out.unionByName(_walk_levels(tagged.join(big, "component", "left_semi").select("parent", "child")))
+    small = small.withColumn("_g", F.pmod(F.xxhash64("component"), F.lit(groups)))
+    return small, None if big.isEmpty() else tagged.join(big, "component", "left_semi").select("parent", "child")
+
+
+def _below_levels(links: DataFrame) -> DataFrame:
+    """``BELOW_SCHEMA`` for pieces beyond one task: one join per level; a pair is kept where it is first met."""
+    links = cut(links)
+    step = cut(links.where("parent <> child").select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance")))
+    met = step
+    while not step.isEmpty():
+        step = cut(
+            step.join(links.withColumnRenamed("parent", "descendant"), "descendant")
+            .select("node", F.col("child").alias("descendant"), (F.col("distance") + 1).alias("distance"))
+            .where("node <> descendant").distinct().join(met.select("node", "descendant"), ["node", "descendant"], "left_anti")
+        )
+        met = met.union(step)
+    return met
+
+
+def hierarchies(edges: DataFrame, parent: str, child: str, max_links: int = 1_000_000,
+                small_group: int = 20_000) -> DataFrame:
+    """Path, depth, root, number of descendants and closing back edges of every node of the links.
+
+    Null or empty ends and repeated links are dropped; other columns of ``edges`` don't matter. Components
+    of up to ``max_links`` links are each walked in one task; small ones share groups of about
+    ``small_group`` links, so there are not more Python calls than needed. Larger ones are walked level
+    by level over the cluster; there the number of descendants of a node without a root is not counted
+    (0) and back edges are not listed. No links give no rows.
+    """
+    small, large = _pieces(edges, parent, child, max_links, small_group)
+    out = small.groupBy("_g").applyInPandas(lambda pdf: _walk(pdf), NODE_SCHEMA)
+    if large is not None:
+        out = out.unionByName(_walk_levels(large))
     return out
 
 
+def below(edges: DataFrame, parent: str, child: str, max_links: int = 1_000_000, small_group: int = 20_000) -> DataFrame:
+    """``(node, descendant, distance)``: every node with every other node below it, once, by the fewest links.
+
+    This follows all links, so it also has the nodes in circles and below them, and those with several
+    parents under all their ancestors. Pieces are split as in ``hierarchies``.
+    """
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        children: dict[str, list[str]] = {}
+        for pdf in batches:
+            for p, c in zip(pdf["parent"], pdf["child"], strict=True):
+                children.setdefault(p, []).append(c)
+        rows: list[tuple[str, str, int]] = []
+        for node in children:
+            for d, n in _reach(node, children).items():
+                rows.append((node, d, n))
+                if len(rows) == BATCH:
+                    yield pd.DataFrame(rows, columns=["node", "descendant", "distance"])
+                    rows = []
+        yield pd.DataFrame(rows, columns=["node", "descendant", "distance"])
+
+    small, large = _pieces(edges, parent, child, max_links, small_group)
+    out = small.groupBy("_g").applyInPandas(walk, BELOW_SCHEMA)
+    return out if large is None else out.unionByName(_below_levels(large))
+
+
 def descendants(nodes: DataFrame) -> DataFrame:
-    """``(node, descendant, distance)``: every node with every node below it, from the paths."""
+    """``(node, descendant, distance)``: the nodes on the path of every node; ``below`` follows all links."""
     return (
         nodes.select(F.col("node").alias("descendant"), F.posexplode("path").alias("pos", "node"), "depth")
         .where("pos < depth").select("node", "descendant", (F.col("depth") - F.col("pos")).alias("distance"))

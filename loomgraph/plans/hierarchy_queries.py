@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.hierarchy import descendants, hierarchies
+from ..operators.hierarchy import below, hierarchies
 from ..operators.orphans import orphan_references
 from ..sources.tables import table
 
@@ -29,8 +29,7 @@ def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = hierarchies(module_links(spark, sf_dir), "from_id", "to_id")
-    return descendants(nodes).select(
+    return below(module_links(spark, sf_dir), "from_id", "to_id").select(
         F.col("node").alias("module_id"), F.col("descendant").alias("below_id"), F.col("distance").cast("int").alias("distance")
     )
 
