@@ -45,7 +45,8 @@ def walk_component(links: list[tuple[str, str]]) -> list[tuple]:
     White nodes are unseen, grey ones lie on the current path, black ones are done; a link to a grey node
     is a back edge and closes a circle. A node in a circle, or below one, has no root: ``''`` and depth -1
     with an empty path. A node with several parents takes its shortest path, the smallest by text among
-    equals. Returns rows of ``NODE_SCHEMA``.
+    equals. ``back_edges`` of a node are its parents, not smaller by text, that it leads back to, so every
+    circle has at least one and they don't depend on where the walk starts. Returns rows of ``NODE_SCHEMA``.
     """
     children: dict[str, list[str]] = {}
     parents: dict[str, set[str]] = {}
@@ -58,7 +59,7 @@ def walk_component(links: list[tuple[str, str]]) -> list[tuple]:
         kids.sort()
     roots = sorted(n for n, ps in parents.items() if not ps)
     colour: dict[str, int] = {}
-    back: dict[str, list[str]] = {}
+    back: set[str] = set()
     finished: list[str] = []
     for start in roots + sorted(children):
         if start in colour:
@@ -76,7 +77,7 @@ def walk_component(links: list[tuple[str, str]]) -> list[tuple]:
                 colour[nxt] = 1
                 stack.append((nxt, iter(children[nxt])))
             elif colour[nxt] == 1:
-                back.setdefault(nxt, []).append(node)
+                back.add(nxt)
     # Reverse finishing order: parents before children, apart from back edges.
     circular: set[str] = set()
     todo = list(back)
@@ -92,23 +93,20 @@ def walk_component(links: list[tuple[str, str]]) -> list[tuple]:
         ways = [path[p] for p in parents[node]]
         path[node] = (*min(ways, key=lambda w: (len(w), w)), node) if ways else (node,)
     below: dict[str, int] = {}
+    closing: dict[str, list[str]] = {}
     shared = any(len(ps) > 1 for ps in parents.values()) or circular
     if not shared:
         for node in finished:
             below[node] = sum(below[c] + 1 for c in children[node])
     else:
         for node in children:
-            seen = {node}
-            todo = list(children[node])
-            while todo:
-                x = todo.pop()
-                if x not in seen:
-                    seen.add(x)
-                    todo.extend(children[x])
-            below[node] = len(seen) - 1
+            reach = _reach(node, children)
+            below[node] = len(reach)
+            if node in circular:
+                closing[node] = sorted(p for p in parents[node] if p == node or p > node and p in reach)
     return [
         (n, path[n][0], len(path[n]) - 1, list(path[n]), below[n], []) if n in path
-        else (n, "", -1, [], below[n], sorted(back.get(n, [])))
+        else (n, "", -1, [], below[n], closing[n])
         for n in sorted(children)
     ]
 
@@ -118,7 +116,7 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "root", "depth", "path", "n_descendants", "back_edges"])
 
 
-def _walk_levels(links: DataFrame) -> DataFrame:
+def _walk_levels(links: DataFrame, counts: bool = True) -> DataFrame:
     """The walk for pieces beyond one task: one join per level; a node is placed when all its parents are."""
     links = cut(links)
     need = links.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("need"))
@@ -137,16 +135,27 @@ def _walk_levels(links: DataFrame) -> DataFrame:
         if step.isEmpty():
             break
         placed = cut(placed.union(step))
-    below = (
-        placed.select(F.explode("path").alias("node")).groupBy("node").agg((F.count(F.lit(1)) - 1).alias("n"))
-    )
-    return nodes.join(placed, "node", "left").join(below, "node", "left").select(
+    out = nodes.join(placed, "node", "left").select(
         "node",
         F.when(F.col("path").isNull(), "").otherwise(F.element_at("path", 1)).alias("root"),
         F.when(F.col("path").isNull(), -1).otherwise(F.size("path") - 1).cast("int").alias("depth"),
         F.coalesce("path", F.array().cast("array<string>")).alias("path"),
+    )
+    if not counts:
+        return out
+    pairs = _below_levels(links)
+    count = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    unplaced = links.join(placed.select(F.col("node").alias("child")), "child", "left_anti").where("parent >= child")
+    closing = (
+        unplaced.where("parent > child")
+        .join(pairs.select(F.col("node").alias("child"), F.col("descendant").alias("parent")), ["parent", "child"], "left_semi")
+        .select("parent", "child").union(unplaced.where("parent = child").select("parent", "child"))
+        .groupBy(F.col("child").alias("node")).agg(F.sort_array(F.collect_list("parent")).alias("back"))
+    )
+    return out.join(count, "node", "left").join(closing, "node", "left").select(
+        "node", "root", "depth", "path",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_descendants"),
-        F.array().cast("array<string>").alias("back_edges"),
+        F.coalesce("back", F.array().cast("array<string>")).alias("back_edges"),
     )
 
 
@@ -183,19 +192,21 @@ def _below_levels(links: DataFrame) -> DataFrame:
 
 
 def hierarchies(edges: DataFrame, parent: str, child: str, max_links: int = 1_000_000,
-                small_group: int = 20_000) -> DataFrame:
+                small_group: int = 20_000, counts: bool = True) -> DataFrame:
     """Path, depth, root, number of descendants and closing back edges of every node of the links.
 
     Null or empty ends and repeated links are dropped; other columns of ``edges`` don't matter. Components
     of up to ``max_links`` links are each walked in one task; small ones share groups of about
     ``small_group`` links, so there are not more Python calls than needed. Larger ones are walked level
-    by level over the cluster; there the number of descendants of a node without a root is not counted
-    (0) and back edges are not listed. No links give no rows.
+    by level over the cluster, with the same results. Without ``counts`` there are no ``n_descendants`` and
+    ``back_edges``, which take all pairs there. No links give no rows.
     """
     small, large = _pieces(edges, parent, child, max_links, small_group)
     out = small.groupBy("_g").applyInPandas(lambda pdf: _walk(pdf), NODE_SCHEMA)
+    if not counts:
+        out = out.drop("n_descendants", "back_edges")
     if large is not None:
-        out = out.unionByName(_walk_levels(large))
+        out = out.unionByName(_walk_levels(large, counts))
     return out
 
 

@@ -15,7 +15,7 @@ def module_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = hierarchies(module_links(spark, sf_dir), "from_id", "to_id")
+    nodes = hierarchies(module_links(spark, sf_dir), "from_id", "to_id", counts=False)
     return nodes.select(F.col("node").alias("module_id"), F.col("root").alias("root_id"), "depth")
 
 
