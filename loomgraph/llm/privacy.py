@@ -197,6 +197,11 @@ def name_spans(text: str, known: dict[str, float], found: list[tuple[int, int, s
     return sorted(out)
 
 
+def looked_up(text: str) -> set[str]:
+    """The words of a text that ``name_spans`` looks up."""
+    return {text[s:e].lower() for run in runs(_masked(text, structured(text))) if len(run) > 1 for s, e in run}
+
+
 def find(text: str, known: dict[str, float]) -> list[tuple[int, int, str]]:
     found = structured(text)
     return sorted(found + [(s, e, "NAME") for s, e in name_spans(text, known, found)])
@@ -238,13 +243,20 @@ def sanitise(docs: DataFrame, max_broadcast_terms: int = 500_000) -> DataFrame:
     ``max_broadcast_terms``, counted first; above that every document gets those of its own words by a
     join. Null and empty texts have no rows; equal documents each have theirs.
     """
+
+    def words_of(batches):
+        for batch in batches:
+            rows = [(doc, t) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for t in looked_up(text)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string()], strict=True)], names=["doc_id", "term"])
+
     spark = docs.sparkSession
     texts = docs.where("length(text) > 0").select("doc_id", "text")
     terms = cut(revealing_terms(texts))
     small = terms.count() <= max_broadcast_terms
     sent = spark.sparkContext.broadcast({r["term"]: r["discloses"] for r in terms.toLocalIterator()}) if small else None
     if not small:
-        words = texts.select("doc_id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}''’-]{2,}', 0)"))).alias("term"))
+        words = texts.mapInArrow(words_of, "doc_id long, term string")
         own = words.join(terms, "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "discloses"))).alias("known"))
         texts = texts.join(own, "doc_id", "left")
 
