@@ -35,11 +35,13 @@ _NOTICES = {
         |(?:this\s+(?:file|code|class)\s+(?:was|is)\s+(?:automatically\s+|auto-?)?(?:generated|created|produced)\b)|machine\s+(?:output|generated)\b|do\s+not\s+(?:edit|modify)\b""",
     "vendored": r"""vendored\s+from\b|third[- ]party\s+code\b|copied\s+(?:from|verbatim)\b|!?\s*[\w.@/-]+\s+v?\d+\.\d+[\w.]*\s*(?:\|.*)?\(c\)|[\w.@/-]+\s+-\s+release\s+\d
         |copyright\s+the\s+.*authors\b.*upstream|upstream\s+commit\b|imported\s+from\s+upstream\b""",
-    "minified": r"!\s*[\w.-]+\s+build\s+\d+|[#@]\s*sourceMappingURL=",
+    "minified": r"!\s*[\w.-]+\s+build\s+\d+",
 }
 NOTICES = {k: re.compile(rf"(?:{v})", re.I | re.X) for k, v in _NOTICES.items()}
 #: A comment line with what it says, and the lines that open or close a block comment.
 COMMENT = re.compile(r"\s*(?://+|#+(?!!)|--+|'+|/\*+|\*+/?|<!--)[\s=*#-]*(.*?)\s*(?:\*/|-->)?\s*$")
+#: The reference to a source map, in the last line of what a tool wrote.
+MAPPED = re.compile(r"^[ \t]*(?://|/\*)[ \t]*[#@][ \t]*sourceMappingURL=[^\n]*\s*\Z", re.M)
 #: Folders and endings by which such files are kept apart.
 PATHS = {
     "vendored": re.compile(r"(?:^|/)(?:vendor|vendored|third[_-]?party|node_modules|bower_components|external|externals|deps|site-packages|wwwroot/lib)/", re.I),
@@ -48,7 +50,7 @@ PATHS = {
 }
 TOKEN = re.compile(r"[A-Za-z_$@][\w$]*|\d[\w.]*|[^\s\w]")
 SHAPE_NAME, SHAPE_NUMBER, SHAPE_STRING = re.compile(r"[A-Za-z_$@][\w$]*"), re.compile(r"\d+"), re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`")
-LITERAL_LINE = re.compile(r"(?:[\s,()\[\]{}+-]*(?:\"[^\"\n]*\"|'[^'\n]*'|0x[\da-fA-F]+|\d[\d.]*|null|true|false|NULL))+[\s,()\[\]{};]*$|insert\s+into\s+\S+\s+(?:\([^()]*\)\s*)?values\s*\([^()]*\)\s*[;,]?$", re.I)
+LITERAL_LINE = re.compile(r"(?:[\s,()\[\]{}+-]*+(?:\"[^\"\n]*+\"|'[^'\n]*+'|0x[\da-fA-F]++|\d[\d.]*+|null|true|false|NULL))++[\s,()\[\]{};]*$|insert\s+into\s+\S+\s+(?:\([^()]*\)\s*)?values\s*\([^()]*\)\s*[;,]?$", re.I)
 
 FEATURES = (
     "compression", "entropy", "name_length", "short_names", "numbered_names", "comment_density", "line_length", "longest_line",
@@ -57,23 +59,35 @@ FEATURES = (
 SIZE = len(FEATURES) - 1
 
 
-def head_notice(text: str, lines: int = 12) -> tuple[str, int]:
+def head_notice(text: str) -> tuple[str, int]:
     """Kind of the notice in the comment block at the head of ``text``, else '', and where that block ends."""
-    at, kind = 0, ""
-    for line in text.splitlines(keepends=True)[:lines]:
+    at, kind, inside = 0, "", ""
+    for line in text.splitlines(keepends=True):
+        start = line.lstrip()
         said = COMMENT.match(line[:400])
-        if line.strip() and not said:
+        if line.strip() and not said and not inside:
             break
-        if said and not kind:
-            kind = next((k for k, p in NOTICES.items() if p.match(said.group(1))), "")
+        if not inside:
+            inside = "*/" if start.startswith("/*") else "-->" if start.startswith("<!--") else ""
+        if line.strip() and not kind:
+            words = said.group(1) if said else line.strip()
+            kind = next((k for k, p in NOTICES.items() if p.match(words)), "")
+        if inside and inside in line:
+            inside = ""
         at += len(line)
     return kind, at
 
 
+def tail_notice(text: str) -> tuple[str, int]:
+    """'minified' for a text that ends with the reference to its source map, else '', and where the rest ends."""
+    m = MAPPED.search(text, max(0, text.rfind("sourceMappingURL=") - 200)) if "sourceMappingURL=" in text else None
+    return ("minified", m.start()) if m else ("", len(text))
+
+
 def literal_share(lines: list[str]) -> float:
     """Share of the characters outside comments that stand in rows of literals; 0 with fewer than four rows."""
-    rows = [x.strip() for x in lines if len(x) < 20_000 and LITERAL_LINE.match(x.strip())]
-    code = rows + [x.strip() for x in lines if x.strip() and not LITERAL_LINE.match(x.strip()[:20_000]) and not COMMENT.match(x[:400])]
+    rows = [x.strip() for x in lines if LITERAL_LINE.match(x.strip())]
+    code = rows + [x.strip() for x in lines if x.strip() and not LITERAL_LINE.match(x.strip()) and not COMMENT.match(x[:400])]
     return sum(map(len, rows)) / sum(map(len, code)) if len(rows) >= 4 else 0.0
 
 
@@ -111,8 +125,9 @@ def describe(docs: DataFrame) -> DataFrame:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
                 kind, at = head_notice(text)
-                body = text[at:]
-                kind = kind or next((k for k, p in PATHS.items() if p.search(path or "")), "")
+                tail, end = tail_notice(text)
+                body = text[at:end]
+                kind = kind or tail or next((k for k, p in PATHS.items() if p.search(path or "")), "")
                 if not kind and literal_share(body.splitlines()) >= 0.85:
                     kind = "data"
                 kinds.append(kind)
