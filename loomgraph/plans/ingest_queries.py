@@ -171,7 +171,10 @@ def prefix_delete(spark: SparkSession, d: str) -> DataFrame:
 def parse_eligible(spark: SparkSession, d: str) -> DataFrame:
     """Code files without chunks, or changed after their chunks came in."""
     got = C.chunks(spark, d).groupBy(F.col("file_id").alias("id")).agg(_count("n_chunks"))
-    return C.files(spark, d).where("kind = 'CODE'").join(got, "id", "left").where("n_chunks is null").select("id")
+    came = table(spark, d, "chunks").where("id <> '' and name <> ''").groupBy(F.col("file_id").alias("id")).agg(F.max("ingested_at").alias("chunks_at"))
+    changed = table(spark, d, "documents").groupBy(F.col("file_id").alias("id")).agg(F.max("ingested_at").alias("file_at"))
+    code = C.files(spark, d).where("kind = 'CODE'").join(got, "id", "left").join(came, "id", "left").join(changed, "id", "left")
+    return code.where("n_chunks is null or file_at > chunks_at").select("id")
 
 
 def excluded_paths(spark: SparkSession, d: str) -> DataFrame:
