@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ PHONE = re.compile(r"""(?<![\w.+/-])(?:
 DATE = re.compile(r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)")
 SOCIAL = re.compile(r"(?<![\w-])\d{3}([- ])\d{2}\1\d{4}(?![\w-])")
 PERSONAL = re.compile(r"(?<![\w-])(?:\d{2})?(\d{2}(?:0[1-9]|1[0-2])(?:[06][1-9]|[1278]\d|[39][01]))[-+]?(\d{4})(?![\w-])")
+#: The same in one run of digits, with or without the century.
+UNPARTED = re.compile(r"(?<![\w+-])(?<!\d[./])(1[89]|20)?(\d{2}(?:0[1-9]|1[0-2])(?:[06][1-9]|[1278]\d|[39][01]))(\d{4})(?![\w-]|[./]\d)")
 INSURANCE = re.compile(r"(?<!\w)[A-CEGHJ-PQR-TW-Z][A-CEGHJ-NPQR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)")
 _CAP = r"[A-ZÅÄÖÜÉ][\w'’-]+"
 STREET = re.compile(rf"""(?<![\w-])(?:
@@ -48,7 +51,7 @@ STREET = re.compile(rf"""(?<![\w-])(?:
   | (?:Am|An[ ]der|Auf[ ]der|Auf[ ]dem|Im|In[ ]der|Zum|Zur|Unter[ ]den)[ ]{_CAP}[ ]\d{{1,4}}(?:[ ]?[a-zA-Z](?!\w))?(?![\w-])
   | [A-ZÅÄÖÜ][\wåäöüß-]*(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|damm|ring|steig|chaussee|vägen|gatan|gränd|stigen|torget|backen|allén)[ ]\d{{1,4}}(?:[a-zA-Z](?!\w)|[ ][A-H](?=[.,;:)\s]*(?:\n|$)|[.,;:)]))?(?![\w-])
 )""", re.X)
-#: Every span but a mail address has one of these within; the patterns above are tried around them only.
+#: Every span but a mail address and an unparted number has one of these within; the patterns above are tried around them only.
 ANCHOR = re.compile(r"\d(?:[-. /)(]{1,2}\d|[A-D]\b| [A-ZÅÄÖÜ])|[a-zß.] \d{1,4}(?!\d)")
 MAIL_ANCHOR = re.compile(r"@|[\[(] ?at ?[\])]| at (?=\S+ dot )", re.I)
 #: Characters before and after an anchor that a span may reach.
@@ -77,6 +80,16 @@ def _control(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _born(century: str | None, digits: str) -> bool:
+    """Whether six digits are a date; the days of coordination numbers are 60 higher."""
+    day = int(digits[4:6])
+    try:
+        date(int(f"{century or 20}{digits[:2]}"), int(digits[2:4]), day - 60 if day > 60 else day)
+    except ValueError:
+        return False
+    return True
+
+
 def _windows(anchor: re.Pattern, text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for m in anchor.finditer(text):
@@ -98,6 +111,9 @@ def structured(text: str) -> list[tuple[int, int, str]]:
             remote = re.match(r":[\w~./-]+/", text[m.end() : m.end() + 60]) is not None
             if local not in MACHINES and not remote:
                 out.append((m.start(), m.end(), "EMAIL"))
+    for m in UNPARTED.finditer(text):
+        if _control(m.group(2) + m.group(3)) and _born(m.group(1), m.group(2)):
+            out.append((m.start(), m.end(), "ID_NUMBER"))
     windows = _windows(ANCHOR, text)
     for pattern, kind in ((SOCIAL, "ID_NUMBER"), (PERSONAL, "ID_NUMBER"), (INSURANCE, "ID_NUMBER"), (STREET, "ADDRESS"), (PHONE, "PHONE")):
         for lo, hi in windows:
