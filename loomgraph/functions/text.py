@@ -28,6 +28,7 @@ LANGUAGES = (
     ("javascript", "typescript", "js", "ts"), ("csharp", "cs"), ("vbnet", "vb"), ("fsharp", "fs"), ("java",), ("cpp",),
     ("python", "py"), ("rust", "rs"), ("ruby", "rb"), ("go",), ("php",), ("swift",), ("kotlin", "kt"), ("sql",),
 )
+_ALIASES = {"csharp": "c#", "fsharp": "f#", "vbnet": "vb.net"}
 #: How the compounds fall apart at capital letters: their two halves.
 _HALVES = (("c", "sharp"), ("f", "sharp"), ("graph", "ql"), ("java", "script"), ("type", "script"), ("vb", "net"))
 
@@ -38,15 +39,46 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) and not t.isascii() else t)
 
 
+def _unstable() -> str:
+    """A pattern class of the letters that compatibility composition may change, by the rule itself, as ranges."""
+    hit = [c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFKC", chr(c)))]
+    spans, start = [], hit[0]
+    for a, b in zip(hit, [*hit[1:], -1], strict=True):
+        if b != a + 1:
+            spans.append(f"\\x{{{start:x}}}-\\x{{{a:x}}}")
+            start = b
+    return "[" + "".join(spans) + "]"
+
+
+UNSTABLE = _unstable()
+#: Letters outside those of one byte that composition never changes: listed one by one, they cost one look-up.
+_FOREIGN = "[^" + "".join(f"\\x{c:02x}" for c in range(256) if unicodedata.is_normalized("NFKC", chr(c))) + "]"
+
+
+def unstable(text: Column) -> Column:
+    """Whether compatibility composition may change a text."""
+    return text.rlike(_FOREIGN) & text.rlike(UNSTABLE)
+
+
+def composed(text: Column) -> Column:
+    """The text in compatibility composition. Only texts that hold a letter it may change go through Python."""
+    return F.coalesce(nfkc(F.when(unstable(text), text)), text)
+
+
+def _named(text: Column) -> Column:
+    """The text with names of languages that hold signs turned to words."""
+    # The letters come first and the look back last, so that most places cost one comparison.
+    for pattern, word in (("[cC]#", "csharp"), ("[fF]#", "fsharp"), (r"[vV][bB]\.[nN][eE][tT]", "vbnet")):
+        text = F.regexp_replace(text, rf"{pattern}(?<![\p{{L}}\p{{N}}]{pattern})(?![\p{{L}}\p{{N}}])", f" {word} ")
+    return text
+
+
 def tokens(text: Column) -> Column:
     """Distinct tokens of a text: runs of letters and digits of two or more, and their camel-case parts.
 
     Stays in the JVM; apply ``nfkc`` before it where the corpus needs that. A null text gives null.
     """
-    named = text
-    # The letters come first and the look back last, so that most places cost one comparison.
-    for pattern, word in (("[cC]#", "csharp"), ("[fF]#", "fsharp"), (r"[vV][bB]\.[nN][eE][tT]", "vbnet")):
-        named = F.regexp_replace(named, rf"{pattern}(?<![\p{{L}}\p{{N}}]{pattern})(?![\p{{L}}\p{{N}}])", f" {word} ")
+    named = _named(text)
     halves = "|".join(f"({a})\x01({b})(?<![\\p{{L}}\\p{{N}}]{a}\x01{b})" for a, b in _HALVES)
     whole = "".join(f"${i + 1}" for i in range(2 * len(_HALVES)))
 
@@ -63,6 +95,40 @@ def tokens(text: Column) -> Column:
     return F.filter(F.element_at(F.transform(F.array(named), both), 1), lambda t: F.length(t) >= 2)
 
 
+def needles(words: list[str]) -> list[str]:
+    """Texts of which one must stand in a lower-case text for any of the words to be among its tokens."""
+    return [*words, *(a for w, a in _ALIASES.items() if w in words)]
+
+
+def holds(text: Column, words: list[str]) -> Column:
+    """Whether a text may hold one of the words: a plain search in its lower-case form."""
+    low, out = F.lower(text), F.lit(False)
+    for n in needles(words):
+        out = out | low.contains(n)
+    return out
+
+
+def tokens_among(text: Column, words: list[str]) -> Column:
+    """The tokens of a text that are among ``words``: ``tokens`` is applied only to the runs that hold one of them.
+
+    A token never reaches over the end of a run of letters and digits, so no other run can give it.
+    """
+    if not words:
+        return F.array().cast("array<string>")
+    cut = r"[^0-9A-Za-z\x80-\x{10FFFF}]+"
+    if any(w in words for w in _ALIASES):
+        # The signs in these names end a run, so they become words first, as in ``tokens``.
+        text = _named(text)
+
+    def some(run: Column) -> Column:
+        low, out = F.lower(run), F.lit(False)
+        for w in words:
+            out = out | low.contains(w)
+        return out
+
+    return F.array_intersect(tokens(F.array_join(F.array_distinct(F.filter(F.split(text, cut), some)), "\n")), _texts(words))
+
+
 def query_tokens(query: str) -> list[str]:
     """Distinct tokens of a query in order, by the rules of ``tokens``."""
     text = unicodedata.normalize("NFKC", query)
@@ -124,6 +190,16 @@ def lexical_score(text: Column, text_tokens: Column, words: list[str], phrase: s
     return F.when(matched > 0, F.least(F.lit(1.0), matched / F.lit(float(len(groups))) * 0.85 + bonus)).otherwise(0.0)
 
 
+def lexical_share(text_tokens: Column, whole: Column, words: list[str]) -> Column:
+    """``lexical_score`` from tokens and whether the text holds the whole phrase."""
+    groups = token_groups(words)
+    if not groups:
+        return F.lit(0.0)
+    matched = sum((F.when(F.arrays_overlap(text_tokens, _texts(g)), 1).otherwise(0) for g in groups), F.lit(0))
+    bonus = F.when(whole, 0.15).otherwise(0.0)
+    return F.when(matched > 0, F.least(F.lit(1.0), matched / F.lit(float(len(groups))) * 0.85 + bonus)).otherwise(0.0)
+
+
 def overlap(words: list[str], target: Column) -> Column:
     """How many of the distinct words are in a set of tokens."""
     return F.size(F.array_intersect(_texts(words), target)) if words else F.lit(0)
@@ -135,15 +211,20 @@ def basename(path: Column) -> Column:
     return F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
 
 
-def structural_boost(path: Column, label: Column, kind: Column, words: list[str], phrase: str) -> Column:
-    """Boost for query words in path, file name, label and kind; at most 0.2, less for parsers of other languages."""
+def structural_boost(path: Column, label: Column, kind: Column, words: list[str], phrase: str, names: tuple | None = None) -> Column:
+    """Boost for query words in path, file name, label and kind; at most 0.2, less for parsers of other languages.
+
+    ``names`` are the tokens of path, file name, label and kind, where they are known already.
+    """
     use = [w for w in words if len(w) >= 3 and w not in STRUCTURE_STOP]
     if not use:
         return F.lit(0.0)
-    in_path, in_label = tokens(path), tokens(label)
+    wanted = sorted({*use, *(w for g in LANGUAGES for w in g), "parsers"}) if any(set(g) & set(words) for g in LANGUAGES) else use
+    among = lambda c: tokens_among(c, wanted)
+    in_path, in_base, in_label, in_kind = names or (among(path), among(basename(path)), among(label), among(kind))
     boost = (
-        F.least(F.lit(0.1), overlap(use, in_path) * 0.035) + F.least(F.lit(0.08), overlap(use, tokens(basename(path))) * 0.06)
-        + F.least(F.lit(0.08), overlap(use, in_label) * 0.04) + F.least(F.lit(0.03), overlap(use, tokens(kind)) * 0.02)
+        F.least(F.lit(0.1), overlap(use, in_path) * 0.035) + F.least(F.lit(0.08), overlap(use, in_base) * 0.06)
+        + F.least(F.lit(0.08), overlap(use, in_label) * 0.04) + F.least(F.lit(0.03), overlap(use, in_kind) * 0.02)
     )
     compact = re.sub(r"[\W_]+", "", phrase)
     if len(compact) >= 8:

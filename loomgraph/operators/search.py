@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,19 +28,55 @@ def test_evidence(path: Column) -> Column:
     return path.rlike(r"(^|/)(tests?|__tests__)/") | path.rlike(r"\.(test|spec)\.[^.]+$")
 
 
-def scored(cands: DataFrame, degree: DataFrame, query: str, reference: str, weights: Weights = Weights(),
-           vectors: DataFrame | None = None, query_vector: list[float] | None = None, tier: str | None = None) -> DataFrame:
+def matches(texts: DataFrame, words: list[str], phrase: str = "") -> DataFrame:
+    """``(id, tokens, whole)``: which of the words each text has among its tokens, and whether it holds the phrase.
+
+    ``texts(id, text)`` may hold an id in several rows; their tokens are united. Texts without any word are
+    dropped by one search for substrings where they are read, so only ids and found words are moved. A null
+    text has no tokens.
+    """
+    text = F.col("text")
+    some = texts.select("id", "text").where(T.holds(text, words) | T.unstable(text)).select("id", T.composed(text).alias("text"))
+    some = some.select("id", T.tokens_among(text, words).alias("tokens"), (F.lower("text").contains(phrase) if phrase else F.lit(False)).alias("whole"))
+    return some.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens"), F.bool_or("whole").alias("whole")).where(F.size("tokens") > 0)
+
+
+def asked_words(query: str) -> list[str]:
+    """All words that count for a query: its own, their aliases and those that lead to them."""
+    return sorted({w for g in T.token_groups(T.expand(T.query_tokens(query))) for w in g})
+
+
+def lexical(rows: DataFrame, words: list[str], phrase: str) -> DataFrame:
+    """``(id, lexical_score)`` of the texts that hold a word of the query, from ``matches`` or from texts."""
+    found = rows if "tokens" in rows.columns else matches(rows, sorted({w for g in T.token_groups(words) for w in g}), phrase)
+    return found.select("id", T.lexical_share(F.col("tokens"), F.col("whole"), words).alias("lexical_score"))
+
+
+def _names(cands: DataFrame) -> tuple | None:
+    """Token columns of path, file name, label and kind, where the candidates come from an index."""
+    names = ("path_tokens", "base_tokens", "label_tokens", "kind_tokens")
+    return tuple(F.col(n) for n in names) if set(names) <= set(cands.columns) else None
+
+
+def scored(cands: DataFrame, degree: DataFrame | None, query: str, reference: str, weights: Weights = Weights(),
+           vectors: DataFrame | None = None, query_vector: list[float] | None = None, tier: str | None = None,
+           found: DataFrame | None = None, scorers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Relevant candidates with all their scores.
 
     The midrank of the degree is taken over all candidates of a type (and tier), before the relevance gate
-    and without touching texts. Texts that hold none of the query's words are dropped by one scan for
-    substrings before they are cut into tokens, unless their vector is relevant.
+    and without touching texts. Texts give only ids and lexical scores: those that hold none of the query's
+    words are dropped by one search for substrings where they are read, and the rest is joined to the heads
+    of the candidates by id. ``found`` are the ``matches`` of the query's words, as an index gives them;
+    without it the candidates' own texts are read. A ``degree`` of the candidates is used where they have
+    one. ``scorers`` replace or add parts of the score by name
+    (``semantic``, ``recency``, ``boost``): functions from a Column of the usual value to a Column.
     """
+    plug = lambda name, usual: (scorers or {}).get(name, lambda c: c)(usual)
     phrase = query.strip().lower()
     words = T.expand(T.query_tokens(query))
     groups = ["entity_type"] if tier is None else [tier, "entity_type"]
     extra = [] if tier is None else [tier]
-    with_degree = cands.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    with_degree = cands if degree is None else cands.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     counts = with_degree.groupBy(*groups, "degree").agg(F.count(F.lit(1)).alias("_c"))
     upto = F.sum("_c").over(W.partitionBy(*groups).orderBy("degree"))
     ranks = counts.select(*groups, "degree", ((upto - F.col("_c") + upto) / (2 * F.sum("_c").over(W.partitionBy(*groups)))).alias("graph_score"))
@@ -50,19 +87,11 @@ def scored(cands: DataFrame, degree: DataFrame, query: str, reference: str, weig
         rows = rows.join(close.where("embedding_score > 0"), "id", "left").withColumn("embedding_score", F.coalesce("embedding_score", F.lit(0.0)))
     else:
         rows = rows.withColumn("embedding_score", F.lit(0.0))
-    needles = sorted({w for g in T.token_groups(words) for w in g})
-    aliases = {"csharp": "c#", "fsharp": "f#", "vbnet": "vb.net"}
-    low = F.lower("text")
-    some = F.lit(False)
-    for w in [*needles, *(aliases[w] for w in needles if w in aliases)]:
-        some = some | low.contains(w)
-    rows = rows.where(some | (F.col("embedding_score") >= MIN_VECTOR))
-    rows = rows.withColumn("_tokens", F.array_intersect(T.tokens(F.col("text")), F.array(*[F.lit(w) for w in needles]) if needles else F.array().cast("array<string>")))
-    rows = rows.withColumn("lexical_score", T.lexical_score(F.col("text"), F.col("_tokens"), words, phrase)).drop("_tokens")
+    rows = rows.join(lexical(cands if found is None else found, words, phrase), "id", "left").withColumn("lexical_score", F.coalesce("lexical_score", F.lit(0.0)))
     rows = rows.where((F.col("lexical_score") >= MIN_LEXICAL) | (F.col("embedding_score") >= MIN_VECTOR)).join(ranks, [*groups, "degree"])
     rows = rows.withColumn(
-        "semantic_score", F.when(F.col("embedding_score") > 0, F.col("embedding_score") * 0.75 + F.col("lexical_score") * 0.25).otherwise(F.col("lexical_score"))
-    ).withColumn("_structural", T.structural_boost(F.col("path"), F.col("label"), F.col("kind"), words, phrase))
+        "semantic_score", plug("semantic", F.when(F.col("embedding_score") > 0, F.col("embedding_score") * 0.75 + F.col("lexical_score") * 0.25).otherwise(F.col("lexical_score")))
+    ).withColumn("_structural", T.structural_boost(F.col("path"), F.col("label"), F.col("kind"), words, phrase, _names(cands)))
     sem, lex = F.col("semantic_score"), F.col("lexical_score")
     evidence = F.when(
         test_evidence(F.col("path")), F.when((sem >= 0.5) & (lex >= 0.4), 0.07).when((sem >= 0.4) & (lex >= 0.25), 0.04).otherwise(0.0)
@@ -71,12 +100,12 @@ def scored(cands: DataFrame, degree: DataFrame, query: str, reference: str, weig
     trust = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("trust_level") / 100))
     score = (
         sem * weights.semantic + F.col("graph_score") * weights.graph * scale + trust * weights.trust * scale
-        + T.recency(F.col("updated_at"), reference) * weights.recency * scale + F.col("_structural") + evidence
-        + T.data_access_boost(F.col("entity_type"), F.col("kind"), F.col("path"), words, phrase)
+        + plug("recency", T.recency(F.col("updated_at"), reference)) * weights.recency * scale + F.col("_structural") + evidence
+        + plug("boost", T.data_access_boost(F.col("entity_type"), F.col("kind"), F.col("path"), words, phrase))
         + F.when(F.col("source_of_truth"), sem * 0.1).otherwise(0.0)
     )
     return rows.select(
-        *extra, "id", "entity_type", "kind", "label", "path", "status", "source_of_truth", "updated_at", "snippet", "semantic_score",
+        *extra, "id", "entity_type", "kind", "label", "path", "status", "source_of_truth", "updated_at", "semantic_score",
         "embedding_score", "lexical_score", "graph_score", score.alias("score"),
     )
 
@@ -114,7 +143,7 @@ def diverse(ranked: DataFrame, k: int, by: list[str] | None = None) -> DataFrame
     return pool.orderBy(F.desc("_adjusted"), *pool_order).limit(k).drop("_n", "_adjusted")
 
 
-def search(cands: DataFrame, degree: DataFrame, query: str, reference: str, top_k: int = 5, **options) -> DataFrame:
+def search(cands: DataFrame, degree: DataFrame | None, query: str, reference: str, top_k: int = 5, **options) -> DataFrame:
     """The ranked answer to a query: at most ``top_k`` rows, best first."""
     ranked = collapse_windows(scored(cands, degree, query, reference, **options), cands)
     return diverse(ranked, top_k)

@@ -98,12 +98,14 @@ def gates(metrics: DataFrame, limits: list[tuple[str, float]]) -> DataFrame:
     return frame.join(metrics, "metric", "left").select("metric", "actual", "threshold", F.coalesce(F.col("actual") <= F.col("threshold"), F.lit(False)).alias("passed"))
 
 
-def idf(rows: DataFrame, tokens: Column, words: list[str]) -> DataFrame:
-    """``(token, n, idf)`` for the words of a query: ln((N + 1) / (n + 1)) + 1. Only the words are exploded."""
-    spark = rows.sparkSession
-    asked = F.array(*[F.lit(w) for w in words])
-    total = rows.agg(F.count(F.lit(1)).alias("_total"))
-    seen = rows.select(F.explode(F.array_intersect(asked, tokens)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+def idf(found: DataFrame, total: DataFrame, words: list[str]) -> DataFrame:
+    """``(token, n, idf)`` for the words of a query: ln((N + 1) / (n + 1)) + 1.
+
+    ``found(id, tokens)`` tells which of the words each text holds, ``total`` has a row per text.
+    """
+    spark = found.sparkSession
+    count = total.agg(F.count(F.lit(1)).alias("_total"))
+    seen = found.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     frame = spark.createDataFrame([(w,) for w in words], "token string")
-    return frame.join(seen, "token", "left").crossJoin(F.broadcast(total)).select(
+    return frame.join(seen, "token", "left").crossJoin(F.broadcast(count)).select(
         "token", F.coalesce("n", F.lit(0)).alias("n"), (F.log((F.col("_total") + 1) / (F.coalesce("n", F.lit(0)) + 1)) + 1).alias("idf"))

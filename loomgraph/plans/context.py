@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..operators.index import SearchIndex, open_index
+from ..sources.tables import spread, table
 
 ENTITY = ("id", "entity_type", "kind", "label", "path", "text", "status", "source_of_truth", "trust_level", "updated_at", "snippet")
 
@@ -15,9 +16,13 @@ def text_or(c: str, default: str = "") -> Column:
     return F.coalesce(F.col(c), F.lit(default))
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File nodes with defaults: kind DOC unless CODE or ADR, trust 50, active; rows without id or path are dropped."""
-    d = table(spark, sf_dir, "documents").where("file_id <> '' and path <> ''")
+def files(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """File nodes with defaults: kind DOC unless CODE or ADR, trust 50, active; rows without id or path are dropped.
+
+    ``wide`` deals a small table out to all cores, for work on whole texts.
+    """
+    d = table(spark, sf_dir, "documents")
+    d = (spread(d.select("file_id", "path", "kind", "text", "checksum", "updated_at", "source_of_truth", "trust_level", "status"), "file_id") if wide else d).where("file_id <> '' and path <> ''")
     kind = F.upper(text_or("kind"))
     return d.select(
         F.col("file_id").alias("id"), "path", F.when(kind.isin("CODE", "ADR"), kind).otherwise("DOC").alias("kind"),
@@ -38,13 +43,15 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Present state of each chunk: the row with the latest ``ingested_at``, the largest key on ties."""
-    cols = ["chunk_key", "file_id", "name", "kind", "signature", "body", "description", "start_line", "end_line", "lang", "exported", "checksum", "updated_at", "source_of_truth", "trust_level", "status"]
-    last = table(spark, sf_dir, "chunks").where("id <> '' and file_id <> '' and name <> ''").groupBy("id").agg(
-        F.max_by(F.struct(*cols), F.struct("ingested_at", "chunk_key")).alias("r")
-    ).select("id", "r.*")
-    return last.select(
-        "id", "file_id", "name", text_or("kind", "function").alias("kind"), text_or("signature").alias("signature"), text_or("body").alias("body"),
+    """Present state of each chunk: the row with the latest ``ingested_at``, the largest key on ties.
+
+    A rank, not an aggregate of whole rows, so that a query moves only the columns it needs: bodies travel
+    only where they are asked for.
+    """
+    last = W.partitionBy("id").orderBy(F.desc("ingested_at"), F.desc("chunk_key"))
+    rows = table(spark, sf_dir, "chunks").where("id <> '' and file_id <> '' and name <> ''")
+    return rows.withColumn("_last", F.row_number().over(last)).where("_last = 1").select(
+        "id", "chunk_key", "file_id", "name", text_or("kind", "function").alias("kind"), text_or("signature").alias("signature"), text_or("body").alias("body"),
         text_or("description").alias("description"), F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"),
         text_or("lang", "javascript").alias("language"), F.coalesce("exported", F.lit(False)).alias("exported"), text_or("checksum").alias("checksum"),
         text_or("updated_at").alias("updated_at"), F.coalesce("source_of_truth", F.lit(True)).alias("source_of_truth"),
@@ -131,17 +138,59 @@ def relation_signals(relations: DataFrame, labels: DataFrame, kinds: tuple[str,
     return out.groupBy("id").agg(F.array_join(lines, "\n").alias("signals"))
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searchable entities: files, rules, chunks and modules under one schema with a text to search."""
+#: Longest text of a decision record or chunk that is kept.
+MAX_BODY_CHARS = 12_000
+
+
+def stem(path: Column) -> Column:
+    """Last part of a path without its extension; a name that is all extension stays."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def adrs(file_rows: DataFrame) -> DataFrame:
+    """Decision records as nodes of their own, from the files of kind ADR: ``adr:`` and the file's name without extension.
+
+    Of several files with one name the last by path stands for the record, as an upsert in order of paths.
+    """
+    day = lambda p: F.nullif(F.regexp_extract("content", p, 1), F.lit(""))
+    title = F.trim(F.regexp_extract("content", r"(?m)^#[ \t]+(.+?)\s*$", 1))
+    rows = file_rows.where("kind = 'ADR'").select(
+        F.concat(F.lit("adr:"), F.lower(stem(F.col("path")))).alias("id"), "path", F.when(title != "", title).otherwise(stem(F.col("path"))).alias("title"),
+        F.substring("content", 1, MAX_BODY_CHARS).alias("body"),
+        F.coalesce(day(r"""(?im)^\s*date:\s*["']?(\d{4}-\d{2}-\d{2})["']?\s*$"""), day(r"""(?im)^\s*decision[_\s-]*date:\s*["']?(\d{4}-\d{2}-\d{2})["']?\s*$"""),
+                   F.substring("updated_at", 1, 10)).alias("decision_date"))
+    last = W.partitionBy("id").orderBy(F.desc("path"))
+    return rows.withColumn("_last", F.row_number().over(last)).where("_last = 1").drop("_last")
+
+
+def unshadowed(file_rows: DataFrame, records: DataFrame) -> DataFrame:
+    """Files without those of kind ADR that a record of the same path stands for; case and blanks around don't count."""
+    key = lambda c: F.lower(F.trim(F.col(c)))
+    taken = records.select(key("path").alias("_taken")).where("_taken <> ''").distinct()
+    # Only decision records can be shadowed, so only they are looked up.
+    kept = file_rows.where("kind = 'ADR'").join(taken, key("path") == F.col("_taken"), "left_anti")
+    return file_rows.where("kind <> 'ADR'").unionByName(kept)
+
+
+def entities(spark: SparkSession, sf_dir: str, projects: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
+    """Searchable entities: files, rules, decision records, chunks, modules, projects, under one schema with a text to search.
+
+    ``projects`` are rows of ``operators.relations.projects``; ``signals(id, signals)`` are lines that end the
+    texts of files and chunks, see ``relation_signals``.
+    """
     f, c = files(spark, sf_dir), chunks(spark, sf_dir)
+    records = adrs(f)
     code = f.where("kind = 'CODE'").select(F.col("id").alias("file_id"), F.col("path").alias("owner"))
     lines = lambda *cs: F.concat_ws("\n", *cs)
-    of_files = f.select(
+    of_files = unshadowed(f, records).select(
         "id", F.lit("File").alias("entity_type"), "kind", F.col("path").alias("label"), "path", lines("path", "excerpt", "content").alias("text"),
         "status", "source_of_truth", "trust_level", "updated_at", F.col("excerpt").alias("snippet"))
     of_rules = rules(spark, sf_dir).select(
         "id", F.lit("Rule").alias("entity_type"), F.lit("RULE").alias("kind"), F.col("title").alias("label"), F.lit("").alias("path"),
         lines("id", "title", "body").alias("text"), "status", "source_of_truth", "trust_level", "updated_at", F.substring("body", 1, 500).alias("snippet"))
+    of_adrs = records.select(
+        "id", F.lit("ADR").alias("entity_type"), F.lit("ADR").alias("kind"), F.col("title").alias("label"), "path", lines("path", "title", "body").alias("text"),
+        F.lit("active").alias("status"), F.lit(True).alias("source_of_truth"), F.lit(95).alias("trust_level"), F.col("decision_date").alias("updated_at"), F.substring("body", 1, 500).alias("snippet"))
     of_chunks = c.join(code, "file_id", "left").withColumn("owner", F.coalesce("owner", F.lit(""))).select(
         "id", F.lit("Chunk").alias("entity_type"), "kind", F.col("name").alias("label"), F.col("owner").alias("path"),
         lines("owner", "name", "signature", "description", "body").alias("text"), "status", "source_of_truth", "trust_level", "updated_at",
@@ -150,7 +199,42 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", F.lit("Module").alias("entity_type"), F.lit("MODULE").alias("kind"), F.col("name").alias("label"), "path",
         lines("path", "name", "summary", "exported_symbols").alias("text"), "status", "source_of_truth", "trust_level", "updated_at",
         F.substring("summary", 1, 500).alias("snippet"))
-    return of_files.unionByName(of_rules).unionByName(of_chunks).unionByName(of_modules)
+    signalled = of_files.unionByName(of_chunks)
+    if signals is not None:
+        signalled = signalled.join(signals, "id", "left").withColumn("text", lines("text", "signals")).drop("signals")
+    out = signalled.unionByName(of_rules).unionByName(of_adrs).unionByName(of_modules)
+    if projects is not None:
+        out = out.unionByName(projects.select(
+            "id", F.lit("Project").alias("entity_type"), F.when(F.col("kind") != "", F.upper("kind")).otherwise("PROJECT").alias("kind"), F.coalesce(F.expr("nullif(name, '')"), "path").alias("label"), "path",
+            lines("path", "name", "kind", "language", "target_framework", "summary").alias("text"), "status", "source_of_truth", "trust_level", "updated_at", F.substring("summary", 1, 500).alias("snippet")))
+    return out
+
+
+def entity_texts(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
+    """``(id, text)``: the parts of the entities' texts, some ids in several rows; together they hold the same words.
+
+    Bodies come straight from the table, so a filter on ``text`` works where they are read; which rows are the
+    present ones is told by a semi join of the keys, and the path of a chunk's file is a part of its own.
+    Nothing whole is moved.
+    """
+    f, c = files(spark, sf_dir, wide=True), chunks(spark, sf_dir)
+    lines = lambda *cs: F.concat_ws("\n", *cs)
+    records = adrs(f)
+    present = c.select("id", "chunk_key")
+    raw = spread(table(spark, sf_dir, "chunks").select("id", "file_id", "chunk_key", "name", "signature", "description", "body"), "chunk_key").where("id <> '' and file_id <> '' and name <> ''")
+    bodies = raw.select("id", "chunk_key", lines("name", text_or("signature"), text_or("description"), text_or("body")).alias("text"))
+    # The join comes after any filter on the text: both sides of it are keys then, but for the texts that passed.
+    bodies = bodies.join(present, ["id", "chunk_key"], "left_semi").select("id", "text")
+    paths = c.select("id", "file_id").join(f.where("kind = 'CODE'").select(F.col("id").alias("file_id"), F.col("path").alias("text")), "file_id").select("id", "text")
+    out = unshadowed(f, records).select("id", lines("path", "excerpt", "content").alias("text")).unionByName(bodies).unionByName(paths)
+    out = out.unionByName(rules(spark, sf_dir).select("id", lines("id", "title", "body").alias("text"))).unionByName(records.select("id", lines("path", "title", "body").alias("text")))
+    out = out.unionByName(modules(spark, sf_dir).select("id", lines("path", "name", "summary", "exported_symbols").alias("text")))
+    return out if signals is None else out.unionByName(signals.select("id", F.col("signals").alias("text")))
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The search index of a corpus, built at its first use."""
+    return open_index(spark, sf_dir, lambda: (entities(spark, sf_dir), degrees(all_relations(spark, sf_dir)), entity_texts(spark, sf_dir)))
 
 
 def candidates(ents: DataFrame, include_deprecated: bool = False) -> DataFrame:
@@ -176,7 +260,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, type, label, path, status, source_of_truth)`` of all nodes; chunks have the path of any owner."""
     f = files(spark, sf_dir)
     owner = f.select(F.col("id").alias("file_id"), F.col("path").alias("owner"))
-    return (
+    records = adrs(f).select("id", F.lit("ADR").alias("type"), F.col("title").alias("label"), "path", F.lit("active").alias("status"), F.lit(True).alias("source_of_truth"))
+    return records.unionByName(
         f.select("id", F.lit("File").alias("type"), F.col("path").alias("label"), "path", "status", "source_of_truth")
         .unionByName(rules(spark, sf_dir).select("id", F.lit("Rule").alias("type"), F.col("title").alias("label"), F.lit("").alias("path"), "status", "source_of_truth"))
         .unionByName(chunks(spark, sf_dir).join(owner, "file_id", "left").select(

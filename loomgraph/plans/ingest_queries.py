@@ -14,6 +14,7 @@ from ..operators import scans as S
 from ..operators import search as SE
 from ..sources.tables import table
 from . import context as C
+from . import search_queries as SQ
 from . import sqltext as X
 
 
@@ -210,8 +211,7 @@ def external_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def undocumented_functions(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "documents").where("kind = 'CODE' and file_id is not null").select("file_id", "text", "lang")
-    return S.undocumented(f, "file_id", "text", "lang", 12)
+    return S.undocumented(C.files(spark, d, wide=True).where("kind = 'CODE'"), "path", "content", 12)
 
 
 def redacted_props(spark: SparkSession, d: str) -> DataFrame:
@@ -261,25 +261,6 @@ def region_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return G.ancestors(n.unionByName(c), "id", "up").groupBy("ancestor", "distance").agg(_count())
 
 
-def nearest_config(spark: SparkSession, d: str) -> DataFrame:
-    """For every configuration file the one of the same repository with the longest common folder prefix."""
-    f = C.files(spark, d).where(F.lower("path").endswith(".config")).select("id", "path", F.split("path", "/")[0].alias("repo"))
-    folders = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/")) - 1), lambda i: F.array_join(F.slice(F.split(c, "/"), F.lit(1), i), "/"))
-    a = f.select("id", F.posexplode(folders(F.col("path"))).alias("depth", "folder"))
-    # The two smallest ids of each folder are enough: a file's nearest one is the smallest other of its deepest shared folder.
-    first = a.groupBy("folder").agg(F.min("id").alias("one"))
-    second = a.join(first, "folder").where("id <> one").groupBy("folder").agg(F.min("id").alias("two"))
-    shared = a.join(first.join(second, "folder"), "folder").withColumn("other", F.when(F.col("id") == F.col("one"), F.col("two")).otherwise(F.col("one")))
-    return shared.groupBy("id").agg(F.max_by("other", "depth").alias("nearest"), (F.max("depth") + 1).alias("common"))
-
-
-def config_transforms(spark: SparkSession, d: str) -> DataFrame:
-    """X.Env.config files with the X.config of their folder."""
-    f = C.files(spark, d).where(F.lower("path").endswith(".config")).select("id", F.lower("path").alias("p"))
-    target = F.regexp_replace("p", r"\.[^./]+\.config$", ".config")
-    return f.select(F.col("id").alias("from_id"), target.alias("p"), (target != F.col("p")).alias("t")).where("t").join(f.select(F.col("id").alias("to_id"), "p"), "p").select("from_id", "to_id")
-
-
 def dataflow_degree(spark: SparkSession, d: str) -> DataFrame:
     """Degrees in a graph of foreign keys: customers, orders and parts as nodes."""
     o = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("from_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("to_id"))
@@ -293,14 +274,16 @@ _TARGET = "(select min(path) from files where kind = 'CODE' and status = 'active
 
 def pattern_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of a pattern in four tiers of nearness to a file, each ranked on its own."""
-    ents = C.candidates(C.entities(spark, d)).where("entity_type in ('File', 'Chunk')")
+    index = C.search_index(spark, d)
+    ents = C.candidates(index.heads).where("entity_type in ('File', 'Chunk')")
     target = C.files(spark, d).where("kind = 'CODE' and status = 'active'").agg(F.min("path").alias("target"))
     rows = ents.crossJoin(F.broadcast(target))
     folder = I.dirname(F.col("target"))
     area = F.when(F.instr(folder, "/") > 0, F.regexp_replace(folder, "/[^/]*$", ""))
     tier = F.when(F.col("path") == F.col("target"), "same_file").when((F.col("path") != "") & (I.dirname(F.col("path")) == folder), "same_module").when(area.isNotNull() & F.col("path").startswith(F.concat(area, F.lit("/"))), "same_feature_area").otherwise("repo_wide")
     rows = rows.withColumn("tier", tier).drop("target")
-    ranked = SE.scored(rows, C.degrees(C.all_relations(spark, d)), "retry tracker snapshot", "2025-06-30 00:00:00", tier="tier")
+    query = "retry tracker snapshot"
+    ranked = SE.scored(rows, None, query, "2025-06-30 00:00:00", tier="tier", found=index.matches(SE.asked_words(query), query))
     best = SE.collapse_windows(ranked, rows, ["tier"])
     return SE.diverse(best, 3, ["tier"]).select("tier", "id", F.round("score", 6).alias("score"), F.round("graph_score", 6).alias("graph_score"))
 
@@ -333,8 +316,8 @@ QUERIES = {f.__name__: f for f in (
     parsed_chunks, sql_objects, sql_reference_counts, markdown_sections, config_entries, calls_in_file, sql_references, import_resolution, import_links, module_rollup, module_parents,
     keyword_rule_match, detected_kinds, file_titles, keyword_counts, checksums, embedding_signatures, vector_reuse, upserted_chunks, policy_merge, policy_partition, snapshot_diff,
     gained_lost, incremental_delete, incremental_hydrate, prefix_delete, parse_eligible, excluded_paths, injection_scan, injection_categories, secret_scan, regex_policy, context_lines,
-    external_calls, undocumented_functions, redacted_props, sanitised_evidence, orphan_rules, contradictions, work_items, folder_ancestors, region_ancestors, nearest_config,
-    config_transforms, dataflow_degree, pattern_evidence, pattern_tiers, two_pass_contained,
+    external_calls, undocumented_functions, redacted_props, sanitised_evidence, orphan_rules, contradictions, work_items, folder_ancestors, region_ancestors,
+    dataflow_degree, pattern_evidence, pattern_tiers, two_pass_contained,
 )}
 
 _DIR = "case when instr(path, '/') > 0 then regexp_replace(path, '/[^/]*$', '') else '.' end"
@@ -343,6 +326,11 @@ _STOP = X.sql_list(I.STOP_WORDS)
 _KEYS = "list_distinct(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: length(w) >= 3 and not list_contains(" + _STOP + ", w)))"
 
 
+_TDIR = f"(select regexp_replace(t, '/[^/]*$', '') from (select {_TARGET} t))"
+_TIER = f"""case when path = {_TARGET} then 'same_file' when path <> '' and {_DIR} = {_TDIR} then 'same_module'
+        when instr({_TDIR}, '/') > 0 and starts_with(path, regexp_replace({_TDIR}, '/[^/]*$', '') || '/') then 'same_feature_area' else 'repo_wide' end"""
+
+
 def _re(p: str) -> str:
     return p.replace("'", "''")
 
@@ -380,7 +368,7 @@ SQL = {
     "upserted_chunks": "select id, arg_max(chunk_key, (ingested_at, chunk_key)) chunk_key, arg_max(coalesce(status, '?'), (ingested_at, chunk_key)) status from chunks where id is not null group by 1",
     "policy_merge": f"with {X.RULES} select id, priority + case when \"scope\" = 'api' then 10 else 0 end priority, case when \"scope\" = 'api' then 'org' else 'local' end origin from ruleset",
     "policy_partition": f"with {X.RULES} select case when status <> 'active' then 'skipped: not active' when priority < 50 then 'warning' else 'enforced' end state, count(*) n from ruleset group by 1",
-    "snapshot_diff": """with a as (select id, arg_min(coalesce(checksum, '?'), (ingested_at, chunk_key)) c from chunks where id is not null group by 1 having id < 'chunk:s'),
+    "snapshot_diff": """with a as (select id, arg_min(coalesce(checksum, '?'), (ingested_at, chunk_key)) c from chunks where id is not null group by 1),
         b as (select id, arg_max(coalesce(checksum, '?'), (ingested_at, chunk_key)) c from chunks where id is not null and coalesce(status, '') <> 'deleted' group by 1)
         select case when a.id is null then 'added' when b.id is null then 'removed' when a.c = b.c then 'unchanged' else 'changed' end "change", count(*) n from a full join b on a.id = b.id group by 1""",
     "gained_lost": """with h as (select pack, unnest(expected_hits) hit from eval_items), a as (select distinct hit from h where pack = 'semantic-pack-a'), b as (select distinct hit from h where pack = 'semantic-pack-b')
@@ -411,15 +399,11 @@ SQL = {
         select ancestor, count(*) n_below, max(distance) deepest from tree group by 1""",
     "region_ancestors": """select ancestor, distance, count(*) n from (select 'r' || n_regionkey ancestor, 1 distance from nation union all select 'n' || c_nationkey, 1 from customer
         union all select 'r' || n_regionkey, 2 from customer join nation on n_nationkey = c_nationkey) group by 1, 2""",
-    "nearest_config": f"""with {X.FILES}, c as (select id, string_split(path, '/') p from files where lower(path) like '%.config'),
-        j as (select a.id, b.id o, (select count(*) from (select unnest(generate_series(1, least(len(a.p), len(b.p)) - 1)) i) where a.p[1:i] = b.p[1:i]) k from c a join c b on a.id <> b.id and a.p[1] = b.p[1])
-        select id, arg_min(o, (-k, o)) nearest, max(k) common from j where k > 0 group by 1""",
-    "config_transforms": f"""with {X.FILES}, c as (select id, lower(path) p from files where lower(path) like '%.config'), t as (select id, p, regexp_replace(p, '\\.[^./]+\\.config$', '.config') q from c)
-        select t.id from_id, c.id to_id from t join c on c.p = t.q where t.p <> t.q""",
     "dataflow_degree": """with e as (select 'c' || o_custkey id from orders union all select 'o' || o_orderkey from orders union all select 'o' || l_orderkey from lineitem union all select 'p' || l_partkey from lineitem),
         d as (select id, id[1] kind, count(*) degree from e group by 1, 2),
         r as (select kind, degree, (rank() over (partition by kind order by degree) - 1 + count(*) over (partition by kind order by degree range between unbounded preceding and current row)) / (2.0::double * count(*) over (partition by kind)) r from d)
         select kind, degree, count(*) n, round(min(r), 6) "rank" from r group by 1, 2""",
+    "pattern_evidence": SQ.scored_sql("retry tracker snapshot", "and entity_type in ('File', 'Chunk')", _TIER) + SQ.top_sql(3, "tier") + " select tier, id, round(score, 6) score, round(g, 6) graph_score from best",
     "pattern_tiers": f"""with {X.FILES}, t as (select {_TARGET} target), f as (select path, target, {_DIR} dir, regexp_replace(target, '/[^/]*$', '') tdir from files, t)
         select case when path = target then 'same_file' when dir = tdir then 'same_module' when instr(tdir, '/') > 0 and starts_with(path, regexp_replace(tdir, '/[^/]*$', '') || '/') then 'same_feature_area' else 'repo_wide' end tier, count(*) n from f group by 1""",
 }

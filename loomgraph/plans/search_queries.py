@@ -81,30 +81,30 @@ def rules_by_scope(spark: SparkSession, d: str, scope: str = "api", include_inac
 def adr_shadowing(spark: SparkSession, d: str) -> DataFrame:
     """Files that stay when decision records are nodes of their own: ADR files are dropped by path."""
     f = C.files(spark, d)
-    adr_paths = f.where("kind = 'ADR' and status = 'active'").select(F.lower(F.trim("path")).alias("p")).distinct()
-    shadowed = f.where("kind = 'ADR'").join(adr_paths, F.lower(F.trim(F.col("path"))) == F.col("p"), "left_semi").select("id")
-    return f.join(shadowed, "id", "left_anti").select("id", "kind")
+    return C.unshadowed(f, C.adrs(f)).select("id", "kind")
 
 
 def _search_frames(spark: SparkSession, d: str):
-    return C.candidates(C.entities(spark, d)), C.degrees(C.all_relations(spark, d))
+    """Candidates with their degrees, and the matches of the query, from the index."""
+    index = C.search_index(spark, d)
+    return C.candidates(index.heads), None, {"found": index.matches(S.asked_words(QUERY), QUERY)}
 
 
 def lexical_search_topk(spark: SparkSession, d: str) -> DataFrame:
-    cands, deg = _search_frames(spark, d)
-    return S.search(cands, deg, QUERY, REFERENCE, top_k=20).select("id", "entity_type", "path", F.round("score", 6).alias("score"), F.round("lexical_score", 6).alias("lexical_score"))
+    cands, deg, found = _search_frames(spark, d)
+    return S.search(cands, deg, QUERY, REFERENCE, top_k=20, **found).select("id", "entity_type", "path", F.round("score", 6).alias("score"), F.round("lexical_score", 6).alias("lexical_score"))
 
 
 def search_scores(spark: SparkSession, d: str) -> DataFrame:
     """All relevant entities with their scores, as an explanation shows them."""
-    cands, deg = _search_frames(spark, d)
-    return S.scored(cands, deg, QUERY, REFERENCE).select("id", F.round("lexical_score", 6).alias("lexical_score"), F.round("graph_score", 6).alias("graph_score"), F.round("score", 6).alias("score"))
+    cands, deg, found = _search_frames(spark, d)
+    return S.scored(cands, deg, QUERY, REFERENCE, **found).select("id", F.round("lexical_score", 9).alias("lexical_score"), F.round("graph_score", 9).alias("graph_score"), F.round("score", 9).alias("score"))
 
 
 def search_explain(spark: SparkSession, d: str) -> DataFrame:
     """The three best results with their scores and the rules that hold for them."""
-    cands, deg = _search_frames(spark, d)
-    best = S.search(cands, deg, QUERY, REFERENCE, top_k=3)
+    cands, deg, found = _search_frames(spark, d)
+    best = S.search(cands, deg, QUERY, REFERENCE, top_k=3, **found)
     owners = C.chunks(spark, d).select("id", "file_id")
     links = C.rule_links(C.stored_relations(spark, d)).select(F.col("id").alias("file_id"), "matched_rules")
     rows = best.join(owners, "id", "left").withColumn("file_id", F.coalesce("file_id", "id")).join(links, "file_id", "left")
@@ -125,11 +125,11 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_search_topk(spark: SparkSession, d: str) -> DataFrame:
     """A search with words and with the vector of one chunk as the query's vector."""
-    cands, deg = _search_frames(spark, d)
+    cands, deg, found = _search_frames(spark, d)
     vectors = _vectors(spark, d)
     first = vectors.orderBy("id").limit(1).collect()
     asked = list(first[0]["vector"]) if first else None
-    return S.search(cands, deg, QUERY, REFERENCE, top_k=10, vectors=vectors, query_vector=asked).select(
+    return S.search(cands, deg, QUERY, REFERENCE, top_k=10, vectors=vectors, query_vector=asked, **found).select(
         "id", F.round("score", 6).alias("score"), F.round("semantic_score", 6).alias("semantic_score"), F.round("embedding_score", 6).alias("embedding_score"))
 
 
@@ -205,18 +205,40 @@ def _impact_sql(order: str) -> str:
         from doms order by {order} limit 20"""
 
 
-_LEX = X.sql_lexical('"text"', "toks", T.expand(T.query_tokens(QUERY)), QUERY)
-_SCORED = f"""with {X.ALL},
-    cands as (select e.*, coalesce(d.degree, 0) degree from ents e left join degree d using (id) where lower(status) <> 'deprecated'),
-    ranked as (select *, (rank() over (partition by entity_type order by degree) - 1 + count(*) over (partition by entity_type order by degree range between unbounded preceding and current row))
-               / (2.0::double * count(*) over (partition by entity_type)) g from cands),
-    lexed as (select *, {_LEX} lex from (select *, {X.sql_tokens('"text"')} toks from ranked)),
-    parts as (select *, {X.sql_structural(T.expand(T.query_tokens(QUERY)))} st, {X.sql_recency('updated_at', REFERENCE)} rec,
+def scored_sql(query: str = QUERY, where: str = "", tier: str = "", vectors: str = "") -> str:
+    """The scored candidates as SQL: ``tier`` is an expression that splits the percentiles, ``vectors`` a relation
+    ``(id, vec)`` whose row of the smallest id is the query's vector."""
+    words = T.expand(T.query_tokens(query))
+    lex = X.sql_lexical('"text"', "toks", words, query)
+    emb = f""", vecs as ({vectors}), asked as (select vec av from vecs order by id limit 1),
+        embs as (select id, greatest(0.0::double, least(1.0::double, list_dot_product(vec, av) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(av, av))))) emb from vecs, asked)""" if vectors else ""
+    joined = "lexed0.*, coalesce(emb, 0.0::double) emb from lexed0 left join embs using (id)" if vectors else "*, 0.0::double emb from lexed0"
+    return f"""with {X.ALL},
+    cands as (select e.*, coalesce(d.degree, 0) degree, {tier or "''"} tier from ents e left join degree d using (id) where lower(status) <> 'deprecated' {where}),
+    ranked as (select *, (rank() over (partition by tier, entity_type order by degree) - 1 + count(*) over (partition by tier, entity_type order by degree range between unbounded preceding and current row))
+               / (2.0::double * count(*) over (partition by tier, entity_type)) g from cands),
+    lexed0 as (select *, {lex} lex from (select *, {X.sql_tokens('"text"')} toks from ranked)){emb},
+    lexed as (select *, case when emb > 0 then emb * 0.75::double + lex * 0.25::double else lex end sem from (select {joined})),
+    parts as (select *, {X.sql_structural(words)} st, {X.sql_recency('updated_at', REFERENCE)} rec,
               case when regexp_matches(path, '(^|/)(tests?|__tests__)/') or regexp_matches(path, '\\.(test|spec)\\.[^.]+$')
-                   then case when lex >= 0.5 then 0.07::double when lex >= 0.4 then 0.04::double else 0.0::double end else 0.0::double end ev
-              from lexed where lex >= 0.05),
-    scored as (select *, lex * 0.4::double + (g * 0.25::double + greatest(0.0::double, least(1.0::double, trust_level / 100.0::double)) * 0.2::double + rec * 0.15::double)
-               * least(1.0::double, greatest(lex, st) * 0.85::double + 0.15::double) + st + ev + case when source_of_truth then lex * 0.1::double else 0.0::double end score from parts)"""
+                   then case when sem >= 0.5 and lex >= 0.4 then 0.07::double when sem >= 0.4 and lex >= 0.25 then 0.04::double else 0.0::double end else 0.0::double end ev
+              from lexed where lex >= 0.05 or emb >= 0.2),
+    scored as (select *, sem * 0.4::double + g * 0.25::double * least(1.0::double, greatest(sem, st) * 0.85::double + 0.15::double)
+               + greatest(0.0::double, least(1.0::double, trust_level / 100.0::double)) * 0.2::double * least(1.0::double, greatest(sem, st) * 0.85::double + 0.15::double)
+               + rec * 0.15::double * least(1.0::double, greatest(sem, st) * 0.85::double + 0.15::double) + st + ev + case when source_of_truth then sem * 0.1::double else 0.0::double end score from parts)"""
+
+
+def top_sql(k: int, by: str = "") -> str:
+    """The diverse top ``k`` of ``scored``, of each ``by`` if given."""
+    part = f"partition by {by} " if by else ""
+    more = f"{by}, " if by else ""
+    return f""",
+        pool0 as (select *, row_number() over ({part}order by score desc, id, path) r from scored),
+        pool as (select *, row_number() over (partition by {more}case when path <> '' then path else id end order by score desc, id, path) n from pool0 where r <= {3 * k}),
+        best as (select *, row_number() over ({part}order by score - least(0.12::double, (n - 1) * 0.04::double) desc, score desc, id, path) place from pool qualify place <= {k})"""
+
+
+_VECTORS = "select id, arg_min(vector, vec_id)::double[] vec from vectors where model = 'ctx-embed-base-v2' and len(vector) = 128 and not list_bool_or(list_transform(vector, lambda x: isnan(x) or x is null)) and id is not null group by id"
 
 QUERIES = {
     "entity_union": entity_union, "entity_candidates": entity_candidates, "part_of_edges": part_of_edges, "relation_union": relation_union,
@@ -251,14 +273,17 @@ SQL = {
         from c window w as (partition by entity_type order by degree)""",
     "catalog": f"""with {X.ALL} select id, 'File' "type", path "label", path, status, source_of_truth from files union all select id, 'Rule', title, '', status, source_of_truth from ruleset
         union all select c.id, 'Chunk', name, coalesce(f.path, ''), c.status, c.source_of_truth from pieces c left join files f on f.id = c.file_id
+        union all select id, 'ADR', title, path, 'active', true from records
         union all select id, 'Module', coalesce(nullif(name, ''), path), path, status, source_of_truth from mods""",
     "node_edge_counts": f"with {X.ALL} select entity_type \"name\", count(*) n from ents group by 1 union all select relation, count(*) from rels group by 1",
     "rules_by_scope": f"with {X.RULES} select id, title, \"scope\", priority, status from ruleset where \"scope\" in ('api', 'global') and status = 'active'",
-    "adr_shadowing": f"with {X.FILES} select id, kind from files where not (kind = 'ADR' and lower(trim(path)) in (select lower(trim(path)) from files where kind = 'ADR' and status = 'active'))",
-    "lexical_search_topk": _SCORED + """,
-        pool as (select *, row_number() over (partition by case when path <> '' then path else id end order by score desc, id, path) n from (select * from scored order by score desc, id, path limit 60))
-        select id, entity_type, path, round(score, 6) score, round(lex, 6) lexical_score from pool order by score - least(0.12::double, (n - 1) * 0.04::double) desc, score desc, id, path limit 20""",
-    "search_scores": _SCORED + " select id, round(lex, 6) lexical_score, round(g, 6) graph_score, round(score, 6) score from scored",
+    "adr_shadowing": f"with {X.FILES}, {X.ADRS} select id, kind from files where not (kind = 'ADR' and lower(trim(path)) in (select lower(trim(path)) from records))",
+    "lexical_search_topk": scored_sql() + top_sql(20) + " select id, entity_type, path, round(score, 6) score, round(lex, 6) lexical_score from best",
+    "search_scores": scored_sql() + " select id, round(lex, 9) lexical_score, round(g, 9) graph_score, round(score, 9) score from scored",
+    "hybrid_search_topk": scored_sql(vectors=_VECTORS) + top_sql(10) + " select id, round(score, 6) score, round(sem, 6) semantic_score, round(emb, 6) embedding_score from best",
+    "search_explain": scored_sql() + top_sql(3) + """, l as (select to_id id, from_id r, ord from stored where relation = 'CONSTRAINS' union all select from_id, to_id, ord from stored where relation = 'IMPLEMENTS'),
+        m as (select id file_id, string_agg(r, ',' order by ord, r) rules from l group by 1)
+        select b.id, round(score, 6) score, round(g, 6) graph_score, coalesce(rules, '') rules from best b left join pieces p on p.id = b.id left join m on m.file_id = coalesce(p.file_id, b.id)""",
     "cosine_topk": """with q as (select embedding asked from embeddings where vec_id = 0),
         c as (select vec_id, list_dot_product(embedding::double[], asked::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(asked::double[], asked::double[]))) x from embeddings, q)
         select vec_id, round(x, 6) cosine from c order by 2 desc, 1 limit 10""",

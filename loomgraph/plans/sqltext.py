@@ -50,6 +50,11 @@ MODULES = """
 mods as (select distinct on (id) id, coalesce(path, '') path, coalesce(name, '') name, coalesce(summary, '') summary, coalesce(exported_symbols, '') exported_symbols,
          coalesce(updated_at, '') updated_at, coalesce(source_of_truth, false) source_of_truth, coalesce(trust_level, 75) trust_level, coalesce(status, 'active') status
          from modules where id <> '')"""
+ADRS = r"""
+adr_rows as (select 'adr:' || lower(regexp_replace(string_split(path, '/')[-1], '(.)\.[^.]*$', '\1')) id, path, coalesce(nullif(trim(regexp_extract(content, '(?m)^#[ \t]+(.+?)\s*$', 1)), ''), regexp_replace(string_split(path, '/')[-1], '(.)\.[^.]*$', '\1')) title,
+        substr(content, 1, 12000) body, coalesce(nullif(regexp_extract(content, '(?im)^\s*date:\s*["'']?(\d{4}-\d{2}-\d{2})["'']?\s*$', 1), ''), nullif(regexp_extract(content, '(?im)^\s*decision[_\s-]*date:\s*["'']?(\d{4}-\d{2}-\d{2})["'']?\s*$', 1), ''), substr(updated_at, 1, 10)) decision_date
+        from files where kind = 'ADR'),
+records as (select id, max(path) path, arg_max(title, path) title, arg_max(body, path) body, arg_max(decision_date, path) decision_date from adr_rows group by id)"""
 RULES = """
 ruleset as (select id, coalesce(nullif(title, ''), id) title, coalesce(body, '') body, coalesce(rule_scope, 'global') "scope", coalesce(priority, 0) priority,
             coalesce(updated_at, '') updated_at, coalesce(source_of_truth, true) source_of_truth, coalesce(trust_level, 95) trust_level, coalesce(status, 'active') status
@@ -61,6 +66,8 @@ part_of as (select id from_id, string_split(id, ':window:')[1] to_id, 'PART_OF'
             union all select id, file_id, 'PART_OF', 'Chunk belongs to file' from pieces where file_id <> '')"""
 ENTITIES = """
 ents as (select id, 'File' entity_type, kind, path "label", path, path || chr(10) || excerpt || chr(10) || content "text", status, source_of_truth, trust_level, updated_at, excerpt snippet from files
+                where not (kind = 'ADR' and lower(trim(path)) in (select lower(trim(path)) from records))
+         union all select id, 'ADR', 'ADR', title, path, path || chr(10) || title || chr(10) || body, 'active', true, 95, decision_date, substr(body, 1, 500) from records
          union all select id, 'Rule', 'RULE', title, '', id || chr(10) || title || chr(10) || body, status, source_of_truth, trust_level, updated_at, substr(body, 1, 500) from ruleset
          union all select c.id, 'Chunk', c.kind, c.name, coalesce(f.path, ''), coalesce(f.path, '') || chr(10) || c.name || chr(10) || c.signature || chr(10) || c.description || chr(10) || c.body, c.status,
                 c.source_of_truth, c.trust_level, c.updated_at, case when c.description <> '' then c.description else substr(c.body, 1, 500) end
@@ -69,7 +76,7 @@ ents as (select id, 'File' entity_type, kind, path "label", path, path || chr(10
 DEGREE = """
 rels as (select from_id, to_id, relation, note from stored union all select * from part_of),
 degree as (select id, count(*) degree from (select from_id id from rels union all select to_id from rels) group by id)"""
-ALL = ",".join((FILES, CHUNKS, MODULES, RULES, RELATIONS, PART_OF, ENTITIES, DEGREE))
+ALL = ",".join((FILES, ADRS, CHUNKS, MODULES, RULES, RELATIONS, PART_OF, ENTITIES, DEGREE))
 
 
 def sql_basename(x: str) -> str:

@@ -208,21 +208,27 @@ def line_windows(spark: SparkSession, d: str, size: int = 80, overlap: int = 16,
         F.md5(F.when(F.col("i") == most, body).otherwise(F.substring(body, 1, 12000))).alias("body_hash"))
 
 
+def _evidence(spark: SparkSession, d: str, words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Heads of chunks and files, and which of the words they hold."""
+    index = C.search_index(spark, d)
+    heads = index.heads.where("entity_type in ('Chunk', 'File')")
+    return heads, index.matches(words).join(heads.select("id"), "id", "left_semi")
+
+
 def idf_weights(spark: SparkSession, d: str) -> DataFrame:
-    e = C.entities(spark, d).where("entity_type in ('Chunk', 'File')")
-    return S.idf(e, T.tokens(F.col("text")), ["tracker", "snapshot", "missingword"]).select("token", "n", F.round("idf", 6).alias("idf"))
+    words = ["tracker", "snapshot", "missingword"]
+    heads, found = _evidence(spark, d, words)
+    return S.idf(found, heads, words).select("token", "n", F.round("idf", 6).alias("idf"))
 
 
 def lexical_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of query words: sum of their weights, 1.5 for each in the path, 2 for each in the name; best 25."""
     words = ["tracker", "snapshot"]
-    e = C.entities(spark, d).where("entity_type in ('Chunk', 'File')")
-    toks = T.tokens(F.col("text"))
-    weights = {r["token"]: r["idf"] for r in S.idf(e, toks, words).collect()}
-    low = F.lower("text")
-    some = e.where(low.contains(words[0]) | low.contains(words[1])).withColumn("_t", toks)
-    score = sum((F.when(F.array_contains("_t", w), weights[w]).otherwise(0.0) for w in words), F.lit(0.0))
-    score = score + T.overlap(words, T.tokens(F.col("path"))) * 1.5 + T.overlap(words, T.tokens(F.col("label"))) * 2
+    heads, found = _evidence(spark, d, words)
+    weights = F.broadcast(S.idf(found, heads, words).groupBy().pivot("token", words).agg(F.first("idf")))
+    some = heads.join(found, "id").crossJoin(weights)
+    score = sum((F.when(F.array_contains("tokens", w), F.col(w)).otherwise(0.0) for w in words), F.lit(0.0))
+    score = score + T.overlap(words, F.col("path_tokens")) * 1.5 + T.overlap(words, F.col("label_tokens")) * 2
     return some.select("id", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(25)
 
 
@@ -327,6 +333,12 @@ SQL = {
         select id || ':window:' || i || ':' || (start_line + s) || '-' || (start_line + e - 1) id, md5(case when i = 8 then array_to_string(ls[s + 1:e], chr(10)) else substr(array_to_string(ls[s + 1:e], chr(10)), 1, 12000) end) body_hash from b""",
     "idf_weights": f"""with {X.ALL}, t as (select {X.sql_tokens('"text"')} toks from ents where entity_type in ('Chunk', 'File')), q as (select unnest(['tracker', 'snapshot', 'missingword']) token),
         n as (select token, (select count(*) from t where list_contains(toks, token)) n from q) select token, n, round(ln(((select count(*) from t) + 1) / (n + 1)::double) + 1, 6) idf from n""",
+    "lexical_evidence": f"""with {X.ALL}, t as (select id, path, "label", {X.sql_tokens('"text"')} toks from ents where entity_type in ('Chunk', 'File')),
+        w as (select {", ".join(f"ln(((select count(*) from t) + 1) / ((select count(*) from t where list_contains(toks, '{w}')) + 1)::double) + 1 {w}" for w in ("tracker", "snapshot"))}),
+        s as (select id, case when list_contains(toks, 'tracker') then tracker else 0 end + case when list_contains(toks, 'snapshot') then snapshot else 0 end
+              + len(list_intersect({X.sql_tokens('path')}, ['tracker', 'snapshot'])) * 1.5::double + len(list_intersect({X.sql_tokens('"label"')}, ['tracker', 'snapshot'])) * 2::double x
+              from t, w where list_has_any(toks, ['tracker', 'snapshot']))
+        select id, round(x, 6) score from s where x > 0 order by 2 desc, 1 limit 25""",
     "best_per_path": f"with {X.CHUNKS} select file_id, arg_min(id, (-length(body), id)) id from pieces group by 1",
     "capped_per_group": f"with {X.RELATIONS}, r as (select *, row_number() over (partition by from_id, relation order by ord) r from stored) select from_id, relation, to_id, ord, r from r where r <= 2",
     "audit_query": "select event_id, strftime(ts, '%Y-%m-%d') \"day\", user_id from events where event_type = 'error' order by 2 desc, 1 desc limit 50",

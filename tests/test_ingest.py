@@ -88,5 +88,5 @@ def test_outline_and_neutralise(spark):
 
 def test_long_functions():
     text = "def f():\n" + "    x = 1\n" * 25 + "# why\ndef g():\n" + "    y = 1\n" * 25
-    assert S.long_functions(text, "python") == [("f", 1, 26)]
-    assert S.long_functions(None, "python") == []
+    assert S.long_functions(text, "a.py") == [("f", 1, 26)]
+    assert S.long_functions(None, "a.py") == []
