@@ -216,27 +216,39 @@ def structural_boost(path: Column, label: Column, kind: Column, words: list[str]
 
     ``names`` are the tokens of path, file name, label and kind, where they are known already.
     """
-    use = [w for w in words if len(w) >= 3 and w not in STRUCTURE_STOP]
+    use = structure_words(words)
     if not use:
         return F.lit(0.0)
-    wanted = sorted({*use, *(w for g in LANGUAGES for w in g), "parsers"}) if any(set(g) & set(words) for g in LANGUAGES) else use
+    asked = [w for g in LANGUAGES if set(g) & set(words) for w in g]
+    wanted = sorted({*use, *LANGUAGE_WORDS, "parsers"}) if asked else use
     among = lambda c: tokens_among(c, wanted)
-    in_path, in_base, in_label, in_kind = names or (among(path), among(basename(path)), among(label), among(kind))
+    names = names or (among(path), among(basename(path)), among(label), among(kind))
+    compact = re.sub(r"[\W_]+", "", phrase)
+    return structure(names, path, label, _texts(use), F.lit(compact), _texts(asked))
+
+
+LANGUAGE_WORDS = [w for g in LANGUAGES for w in g]
+
+
+def structure_words(words: list[str]) -> list[str]:
+    return [w for w in words if len(w) >= 3 and w not in STRUCTURE_STOP]
+
+
+def structure(names: tuple, path: Column, label: Column, use: Column, compact: Column, asked: Column) -> Column:
+    """The structural boost with the parts of the query as columns: its words, its phrase without signs, and the
+    words of the languages it names."""
+    in_path, in_base, in_label, in_kind = names
+    hits = lambda toks: F.size(F.array_intersect(use, toks))
     boost = (
-        F.least(F.lit(0.1), overlap(use, in_path) * 0.035) + F.least(F.lit(0.08), overlap(use, in_base) * 0.06)
-        + F.least(F.lit(0.08), overlap(use, in_label) * 0.04) + F.least(F.lit(0.03), overlap(use, in_kind) * 0.02)
+        F.least(F.lit(0.1), hits(in_path) * 0.035) + F.least(F.lit(0.08), hits(in_base) * 0.06)
+        + F.least(F.lit(0.08), hits(in_label) * 0.04) + F.least(F.lit(0.03), hits(in_kind) * 0.02)
     )
-    compact = re.sub(r"[\W_]+", "", phrase)
-    if len(compact) >= 8:
-        squeeze = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-        boost += F.when(squeeze(path).contains(compact) | squeeze(label).contains(compact), 0.04).otherwise(0.0)
-    asked = [g for g in LANGUAGES if set(g) & set(words)]
-    if asked:
-        there = F.array_union(in_path, in_label)
-        some = F.arrays_overlap(there, _texts([w for g in LANGUAGES for w in g]))
-        same = F.arrays_overlap(there, _texts([w for g in asked for w in g]))
-        boost -= F.when(some & ~same & F.array_contains(in_path, "parsers"), 0.08).otherwise(0.0)
-    return F.least(F.lit(0.2), boost)
+    squeeze = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    boost += F.when((F.length(compact) >= 8) & (squeeze(path).contains(compact) | squeeze(label).contains(compact)), 0.04).otherwise(0.0)
+    there = F.array_union(in_path, in_label)
+    other = F.arrays_overlap(there, _texts(LANGUAGE_WORDS)) & ~F.arrays_overlap(there, asked)
+    boost -= F.when((F.size(asked) > 0) & other & F.array_contains(in_path, "parsers"), 0.08).otherwise(0.0)
+    return F.when(F.size(use) > 0, F.least(F.lit(0.2), boost)).otherwise(0.0)
 
 
 # Words by which a query asks for kinds of data access.
@@ -264,32 +276,33 @@ def intents(words: list[str], phrase: str) -> dict[str, bool]:
 
 def data_access_boost(entity_type: Column, kind: Column, path: Column, words: list[str], phrase: str) -> Column:
     """Boost for chunks and files that hold data access, where the query asks for it."""
-    want = intents(words, phrase)
+    return data_access(entity_type, kind, path, {k: F.lit(v) for k, v in intents(words, phrase).items()})
+
+
+def data_access(entity_type: Column, kind: Column, path: Column, want: dict[str, Column]) -> Column:
+    """The same with what the query asks for as columns."""
     kind, path = F.lower(kind), F.lower(path)
+    # Boosts by kind of chunk, the first that fits, and by file, all that fit.
     chunk = [
-        (kind == "connection_string", want["config"] or want["sql"], 0.16),
-        (kind == "database_target", want["config"] or want["sql"] or want["target"], 0.18),
-        (kind == "app_setting", want["config"] or want["settings"], 0.12),
-        (kind == "resource_entry", want["resource"] or want["sql"], 0.1),
-        (kind == "setting_entry", want["settings"] or want["config"] or want["sql"], 0.1),
+        (kind == "connection_string", want["config"] | want["sql"], 0.16),
+        (kind == "database_target", want["config"] | want["sql"] | want["target"], 0.18),
+        (kind == "app_setting", want["config"] | want["settings"], 0.12),
+        (kind == "resource_entry", want["resource"] | want["sql"], 0.1),
+        (kind == "setting_entry", want["settings"] | want["config"] | want["sql"], 0.1),
         (kind.isin(*SQL_KINDS), want["sql"], 0.12),
     ]
     of_chunk = F.lit(0.0)
     for test, asked, boost in reversed(chunk):
-        if asked:
-            of_chunk = F.when(test, boost).otherwise(of_chunk)
-    if want["impact"]:
-        of_chunk = of_chunk + F.when(kind.isin("connection_string", "database_target", "app_setting", *SQL_KINDS), 0.08).otherwise(0.0)
+        of_chunk = F.when(test & asked, boost).otherwise(of_chunk)
+    of_chunk = of_chunk + F.when(want["impact"] & kind.isin("connection_string", "database_target", "app_setting", *SQL_KINDS), 0.08).otherwise(0.0)
     config = path.endswith(".config")
-    staged = F.lit(False)
-    for e in ENVIRONMENTS:
-        staged = staged | path.contains(f".{e}.config")
+    staged = path.rlike(r"\.(?:" + "|".join(ENVIRONMENTS) + r")\.config")
     files = [
         (path.endswith(".sql"), want["sql"], 0.04), (config, want["config"], 0.06), (config & staged, want["transform"], 0.12),
-        (path.endswith("machine.config"), want["machine"], 0.12), (config, want["impact"] and (want["config"] or want["transform"] or want["sql"]), 0.08),
-        (path.endswith(".resx"), want["resource"] or want["sql"], 0.05), (path.endswith(".settings"), want["settings"] or want["config"], 0.05),
+        (path.endswith("machine.config"), want["machine"], 0.12), (config, want["impact"] & (want["config"] | want["transform"] | want["sql"]), 0.08),
+        (path.endswith(".resx"), want["resource"] | want["sql"], 0.05), (path.endswith(".settings"), want["settings"] | want["config"], 0.05),
     ]
-    of_file = sum((F.when(test, boost).otherwise(0.0) for test, asked, boost in files if asked), F.lit(0.0))
+    of_file = sum((F.when(test & asked, boost).otherwise(0.0) for test, asked, boost in files), F.lit(0.0))
     return F.when(entity_type == "Chunk", of_chunk).when(entity_type == "File", of_file).otherwise(0.0)
 
 

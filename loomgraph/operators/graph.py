@@ -97,13 +97,19 @@ SORTS = {
 
 def impact(relations: DataFrame, seeds: DataFrame, ents: DataFrame, degree: DataFrame, *, depth: int = 2, profile: str = "all", query: str = "",
            sort_by: str = "impact_score", top_k: int = 8, result_domains: list[str] | None = None, entity_types: list[str] | None = None,
-           must_include: list[str] | None = None, must_exclude: list[str] | None = None) -> DataFrame:
+           must_include: list[str] | None = None, must_exclude: list[str] | None = None, kinds: list[str] | None = None, preset: str = "full") -> DataFrame:
     """What a change of the seeds reaches, scored by hops, degree, trust, query and profile.
 
     Degrees are those over all relations, not only the followed ones. Nodes without an entity keep their
-    place with type Unknown and trust 0.5. Scores are rounded to 4 places before they are added up.
+    place with type Unknown and trust 0.5. Scores are rounded to 4 places before they are added up. ``kinds``
+    are the relations to follow instead of those of the profile; a ``preset`` without scores orders by hops.
     """
-    followed = relations.where(F.col("relation").isin(*PROFILES[profile]))
+    if preset != "full" and sort_by != "shortest_path":
+        # Without scores in the response its comparator reads zeros, so the order falls back to hops and discovery.
+        order_by = ("hops",)
+    else:
+        order_by = SORTS[sort_by]
+    followed = relations.where(F.col("relation").isin(*(kinds or PROFILES[profile])))
     found = walk(followed, seeds, depth).where("hops > 0")
     words, phrase = T.expand(T.query_tokens(query)), query.strip().lower()
     semantic = T.lexical_score(F.col("text"), T.tokens(F.col("text")), words, phrase) if query else F.lit(0.0)
@@ -124,7 +130,7 @@ def impact(relations: DataFrame, seeds: DataFrame, ents: DataFrame, degree: Data
         rows = rows.where(F.size(F.array_except(texts([r.lower() for r in must_include]), lower)) == 0)
     if must_exclude:
         rows = rows.where(~F.arrays_overlap(lower, texts([r.lower() for r in must_exclude])))
-    order = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in SORTS[sort_by]]
+    order = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order_by]
     return rows.orderBy(*order, "id").limit(top_k)
 
 

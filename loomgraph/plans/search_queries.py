@@ -111,6 +111,17 @@ def search_explain(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.round("score", 6).alias("score"), F.round("graph_score", 6).alias("graph_score"), F.coalesce(F.array_join("matched_rules", ","), F.lit("")).alias("rules"))
 
 
+def search_with_rules(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The best ``k`` with their scores and, for files and chunks, the rules that hold for their file."""
+    cands, deg, found = _search_frames(spark, d)
+    best = S.search(cands, deg, QUERY, REFERENCE, top_k=k, **found)
+    scores = [F.round(c, 6).alias(c) for c in ("score", "semantic_score", "embedding_score", "lexical_score", "graph_score")]
+    owners = C.chunks(spark, d).select("id", "file_id")
+    links = C.rule_links(C.stored_relations(spark, d)).select(F.col("id").alias("file_id"), F.array_join("matched_rules", ",").alias("matched_rules"))
+    rows = best.join(owners, "id", "left").withColumn("file_id", F.coalesce("file_id", "id")).join(links, "file_id", "left")
+    return rows.select("id", "entity_type", "kind", "label", "path", "status", "source_of_truth", "updated_at", *scores, F.coalesce("matched_rules", F.lit("")).alias("matched_rules"))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """One usable vector per chunk id: the smallest ``vec_id`` of the main model."""
     v = table(spark, d, "vectors").where("model = 'ctx-embed-base-v2' and size(vector) = 128 and not exists(vector, x -> isnan(x) or x is null)")
@@ -238,6 +249,8 @@ def top_sql(k: int, by: str = "") -> str:
         best as (select *, row_number() over ({part}order by score - least(0.12::double, (n - 1) * 0.04::double) desc, score desc, id, path) place from pool qualify place <= {k})"""
 
 
+RULES_SQL = """, l as (select to_id id, from_id r, ord from stored where relation = 'CONSTRAINS' union all select from_id, to_id, ord from stored where relation = 'IMPLEMENTS'),
+        m as (select id file_id, string_agg(r, ',' order by ord, r) rules from l group by 1)"""
 _VECTORS = "select id, arg_min(vector, vec_id)::double[] vec from vectors where model = 'ctx-embed-base-v2' and len(vector) = 128 and not list_bool_or(list_transform(vector, lambda x: isnan(x) or x is null)) and id is not null group by id"
 
 QUERIES = {
