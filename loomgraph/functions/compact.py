@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sizes of a compacted text and signs of a line that says what a file does.
-THRESHOLD, TARGET, SIGNAL_CHARS, SIGNAL_LINE, HEAD_LEAST, TAIL_LEAST, HEAD_SHARE = 16_000, 12_000, 4_096, 240, 1_000, 1_000, 0.62
+THRESHOLD, TARGET, SIGNAL_CHARS, SIGNAL_LINE, HEAD_LEAST, TAIL_LEAST, HEAD_SHARE = 32_768, 16_000, 4_096, 512, 4_096, 2_048, 0.62
 SIGNALS = (
     r"^(import|export)\b", r"^(abstract\s+|async\s+|public\s+|private\s+|protected\s+|static\s+|readonly\s+|override\s+)*(class|interface|type|enum|function)\b", r"^(const|let|var)\s+[$A-Z_a-z][$\w]*\s*=",
     r"^(describe|it|test)\s*\(", r"^(@[A-Z_a-z][$\w]*|#[#\s])", r"^```[A-Za-z0-9_-]+", r"(?i)\b(route|router|endpoint|controller|handler|middleware|permission|auth|token|secret|security|todo|fixme)\b",

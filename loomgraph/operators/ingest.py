@@ -105,20 +105,30 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 def keyword_rules(files: DataFrame, rules: DataFrame, limit: int = 20) -> DataFrame:
     """``(rule_id, file_id, how)``: files that mention a rule's id, else share enough keywords with it.
 
-    One shared keyword is enough for code, two for prose. Keywords meet by an equi join; only the bounded
-    rule ids are looked up as substrings.
+    One shared keyword is enough for code, two for prose. Keywords meet by an equi join, and so do ids that
+    have a whole run of letters inside them.
     """
     parts = F.transform(F.split("id", "[._-]+"), lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", ""))
     own = F.slice(F.array_sort(F.array_distinct(F.filter(F.concat(parts, keywords(F.col("body"))), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS)))), 1, limit)
     r = rules.select(F.col("id").alias("rule_id"), own.alias("words"))
-    ids = [x["rule_id"] for x in r.select("rule_id").limit(10_001).collect()]
-    if len(ids) > 10_000:
-        mention = files.select("id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"(rule[:.][a-z0-9._-]+)"), F.lit(1))).alias("rule_id"))
-    else:
-        there = F.array_compact(F.array(*[F.when(F.lower("content").contains(i.lower()), F.lit(i)) for i in ids])) if ids else F.array().cast("array<string>")
-        mention = files.select("id", F.explode(there).alias("rule_id"))
+    low = F.lower("content")
+    # A mention may stand anywhere, within words too: the longest plain run of the id has to be in the text, and
+    # the runs of a text that end and begin with it meet it by an equi join before the id itself is looked up.
+    run = F.reduce(F.split(F.lower("rule_id"), "[^a-z0-9]+"), F.lit(""), lambda s, x: F.when(F.length(x) > F.length(s), x).otherwise(s))
+    keyed = r.select("rule_id", run.alias("run"), F.size(F.split(F.lower("rule_id"), "[^a-z0-9]+")).alias("n_runs"))
+    inner = keyed.where("n_runs > 1 and run <> ''")
+    texts = files.select("id", low.alias("low"))
+    words_in = files.select("id", F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("run"))
+    meets = words_in.join(inner, "run").select("id", "rule_id").distinct()
+    loose = keyed.where("n_runs <= 1 or run = ''").select("rule_id")
+    mention = texts.join(meets, "id").where(F.col("low").contains(F.lower("rule_id"))).select("rule_id", "id")
+    # Ids of one run, or of none, may stand within any word, and so may the outer runs of others: the rules are
+    # few against the files, so these are joined by looking them up in every text.
+    edge = inner.where(F.lower("rule_id").startswith(F.col("run")) | F.lower("rule_id").endswith(F.col("run"))).select("rule_id")
+    every = texts.join(loose.unionByName(edge), F.col("low").contains(F.lower("rule_id"))).select("rule_id", "id")
+    mention = mention.unionByName(every).distinct()
     words = files.select("id", "kind", F.explode(keywords(F.concat_ws("\n", "path", F.substring("content", 1, 12000)))).alias("word"))
-    hits = words.join(F.broadcast(r.select("rule_id", F.size("words").alias("n_words"), F.explode("words").alias("word"))) if len(ids) <= 10_000 else r.select("rule_id", F.size("words").alias("n_words"), F.explode("words").alias("word")), "word")
+    hits = words.join(r.select("rule_id", F.size("words").alias("n_words"), F.explode("words").alias("word")), "word")
     enough = F.least(F.when(F.first("kind") == "CODE", 1).otherwise(2), F.greatest(F.lit(1), F.first("n_words")))
     matched = hits.groupBy("rule_id", "id").agg((F.count(F.lit(1)) >= enough).alias("ok")).where("ok").select("rule_id", F.col("id").alias("file_id"))
     named = mention.select("rule_id", F.col("id").alias("file_id")).distinct()
@@ -144,12 +154,31 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataF
 
 
 def drop_files(chunks: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks and relations without those of the files ``gone(id)``: a relation goes with either of its ends."""
-    lost = chunks.join(gone.withColumnRenamed("id", "file_id"), "file_id", "left_semi").select("id").union(gone.select("id")).distinct()
-    kept = relations.join(lost.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(lost.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+    """Chunks and relations without those of the files ``gone(id)``.
+
+    Calls go with a lost chunk at either end, imports with the chunk they come from, definitions with their
+    file, calls of SQL with their file or their chunk; other relations stay, their ends may come back.
+    """
+    lost = chunks.join(gone.withColumnRenamed("id", "file_id"), "file_id", "left_semi").select("id").distinct()
+    kind = F.col("relation")
+    at = lambda c, ids: relations.where(c).join(ids.select(F.col("id").alias("from_id")), "from_id", "left_anti")
+    ends = at(kind.isin("CALLS", "CALLS_SQL"), lost).join(lost.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+    ends = ends.where(kind == "CALLS").unionByName(ends.where(kind == "CALLS_SQL").join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti"))
+    kept = ends.unionByName(at(kind == "IMPORTS", lost)).unionByName(at(kind == "DEFINES", gone)).unionByName(relations.where(~kind.isin("CALLS", "CALLS_SQL", "IMPORTS", "DEFINES")))
     return chunks.join(lost, "id", "left_anti"), kept
 
 
+def hydrate(files: DataFrame, chunks: DataFrame, relations: DataFrame) -> DataFrame:
+    """Prior relations of parsed files that stay: files that are there, chunks of such files, and links between them."""
+    f = files.select("id")
+    c = chunks.join(f.withColumnRenamed("id", "file_id"), "file_id", "left_semi").select("id")
+    out = None
+    for kind, a, b in (("DEFINES", f, c), ("CALLS", c, c), ("IMPORTS", c, f), ("CALLS_SQL", f, c)):
+        rows = relations.where(F.col("relation") == kind).join(a.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(b.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def under(path: Column, folder: str) -> Column:
     """Whether a path is a folder or lies in it."""
     return (path == folder) | path.startswith(folder.rstrip("/") + "/")

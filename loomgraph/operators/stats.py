@@ -39,11 +39,15 @@ def histogram(rows: DataFrame, value: str, edges: tuple[int, ...]) -> DataFrame:
     return frame.join(counts, "bucket", "left").select("bucket", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def merge_histograms(*parts: DataFrame) -> DataFrame:
-    """Sum of histograms of the same layout."""
+def merge_histograms(*parts: DataFrame, edges: tuple[int, ...] | None = None) -> DataFrame:
+    """Sum of histograms of the same layout; with ``edges`` a bucket that is not of that layout raises an error."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if edges is not None:
+        known = F.array(*[F.lit(f"{a}-{edges[i + 1] - 1}" if i + 1 < len(edges) else f"{a}+") for i, a in enumerate(edges)])
+        ok = F.coalesce(F.get(known, "bucket") == F.col("label"), F.lit(False))
+        out = out.withColumn("label", F.when(ok, F.col("label")).otherwise(F.raise_error(F.lit("histograms of another layout"))))
     return out.groupBy("bucket", "label").agg(F.sum("n").alias("n"))
 
 

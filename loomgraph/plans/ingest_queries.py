@@ -109,14 +109,6 @@ def embedding_signatures(spark: SparkSession, d: str) -> DataFrame:
     return C.files(spark, d).select("id", F.sha2(F.concat_ws("|", F.lit("File"), "checksum", "updated_at", F.sha2(F.concat_ws("\n", "path", "excerpt"), 256)), 256).alias("signature"))
 
 
-def vector_reuse(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors whose chunk is still there under the main model, by whether they can be kept."""
-    v = table(spark, d, "vectors").dropDuplicates(["vec_id"])
-    now = C.chunks(spark, d).where("status <> 'deleted'").select("id", F.lit(1).alias("there"))
-    keep = F.when(F.col("there").isNull(), "gone").when(F.col("signature").isNull(), "unsigned").when(F.col("model") != "ctx-embed-base-v2", "other model").otherwise("kept")
-    return v.join(now, "id", "left").groupBy(keep.alias("state")).agg(_count())
-
-
 def upserted_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chunks").where("id is not null").select("id", "chunk_key", "status", "ingested_at")
     return I.upsert(rows, ["id"], F.struct("ingested_at", "chunk_key")).select("id", "chunk_key", "status")
@@ -130,12 +122,6 @@ def policy_merge(spark: SparkSession, d: str) -> DataFrame:
     return I.override(local, org, "id").select("id", "priority", "origin").orderBy(F.desc("priority"), "id")
 
 
-def policy_partition(spark: SparkSession, d: str) -> DataFrame:
-    """Rules by whether they are enforced, and why not."""
-    state = F.when(F.col("status") != "active", "skipped: not active").when(F.col("priority") < 50, "warning").otherwise("enforced")
-    return C.rules(spark, d).groupBy(state.alias("state")).agg(_count())
-
-
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     """Chunks between the first and the latest state of each id."""
     rows = table(spark, d, "chunks").where("id is not null")
@@ -151,13 +137,6 @@ def gained_lost(spark: SparkSession, d: str) -> DataFrame:
     return b.subtract(a).withColumn("change", F.lit("gained")).unionByName(a.subtract(b).withColumn("change", F.lit("lost")))
 
 
-def incremental_delete(spark: SparkSession, d: str) -> DataFrame:
-    """What is left of the relations once deleted files are taken out."""
-    gone = table(spark, d, "documents").where("status = 'deleted'").select(F.col("file_id").alias("id"))
-    _, kept = I.drop_files(C.chunks(spark, d), C.stored_relations(spark, d), gone)
-    return kept.groupBy("relation").agg(_count())
-
-
 def incremental_hydrate(spark: SparkSession, d: str) -> DataFrame:
     """Prior DEFINES that stay: their file is there and their chunk is not deleted."""
     f = C.files(spark, d).where("status <> 'deleted'").select(F.col("id").alias("from_id"))
@@ -193,10 +172,6 @@ def injection_categories(spark: SparkSession, d: str) -> DataFrame:
     return S.injection_matches(C.files(spark, d).select("id", "content"), "content").groupBy("pattern", "category").agg(F.sum("n").alias("n"))
 
 
-def secret_scan(spark: SparkSession, d: str) -> DataFrame:
-    return S.secret_hits(C.files(spark, d).select("path", "content"), "path", "content")
-
-
 def regex_policy(spark: SparkSession, d: str) -> DataFrame:
     return S.policy_hits(C.files(spark, d).select("path", "content"), "path", "content", r"\bTODO\b").select("path", "line_no")
 
@@ -231,13 +206,6 @@ def orphan_rules(spark: SparkSession, d: str) -> DataFrame:
     return C.rules(spark, d).select("id").join(ends, "id", "left_anti")
 
 
-def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of rules of one scope with the same title word first and different status; each pair once."""
-    r = C.rules(spark, d).select("id", "scope", "status", F.split("title", " ")[0].alias("word"))
-    a, b = r.alias("a"), r.alias("b")
-    return a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.scope") == F.col("b.scope")) & (F.col("a.id") < F.col("b.id"))).where("a.status <> b.status").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-
-
 def work_items(spark: SparkSession, d: str) -> DataFrame:
     """Repositories by models without those that have a vector already: a product of two small name lists."""
     repos = table(spark, d, "mix_targets").select("source").distinct()
@@ -314,9 +282,9 @@ def two_pass_contained(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     parsed_chunks, sql_objects, sql_reference_counts, markdown_sections, config_entries, calls_in_file, sql_references, import_resolution, import_links, module_rollup, module_parents,
-    keyword_rule_match, detected_kinds, file_titles, keyword_counts, checksums, embedding_signatures, vector_reuse, upserted_chunks, policy_merge, policy_partition, snapshot_diff,
-    gained_lost, incremental_delete, incremental_hydrate, prefix_delete, parse_eligible, excluded_paths, injection_scan, injection_categories, secret_scan, regex_policy, context_lines,
-    external_calls, undocumented_functions, redacted_props, sanitised_evidence, orphan_rules, contradictions, work_items, folder_ancestors, region_ancestors,
+    keyword_rule_match, detected_kinds, file_titles, keyword_counts, checksums, embedding_signatures, upserted_chunks, policy_merge, snapshot_diff,
+    gained_lost, incremental_hydrate, prefix_delete, parse_eligible, excluded_paths, injection_scan, injection_categories, regex_policy, context_lines,
+    external_calls, undocumented_functions, redacted_props, sanitised_evidence, orphan_rules, work_items, folder_ancestors, region_ancestors,
     dataflow_degree, pattern_evidence, pattern_tiers, two_pass_contained,
 )}
 
@@ -362,19 +330,13 @@ SQL = {
     "checksums": f"with {X.FILES} select id, sha256(content) sha256, md5(excerpt) excerpt_hash from files",
     "embedding_signatures": """with f as (select file_id id, path, coalesce(checksum, '') c, coalesce(updated_at, '') u, substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 500) e from documents where file_id <> '' and path <> '')
         select id, sha256('File|' || c || '|' || u || '|' || sha256(path || chr(10) || e)) signature from f""",
-    "vector_reuse": f"""with {X.CHUNKS}, v as (select distinct on (vec_id) * from vectors)
-        select case when p.id is null then 'gone' when v.signature is null then 'unsigned' when v.model <> 'ctx-embed-base-v2' then 'other model' else 'kept' end state, count(*) n
-        from v left join (select id from pieces where status <> 'deleted') p using (id) group by 1""",
     "upserted_chunks": "select id, arg_max(chunk_key, (ingested_at, chunk_key)) chunk_key, arg_max(coalesce(status, '?'), (ingested_at, chunk_key)) status from chunks where id is not null group by 1",
     "policy_merge": f"with {X.RULES} select id, priority + case when \"scope\" = 'api' then 10 else 0 end priority, case when \"scope\" = 'api' then 'org' else 'local' end origin from ruleset",
-    "policy_partition": f"with {X.RULES} select case when status <> 'active' then 'skipped: not active' when priority < 50 then 'warning' else 'enforced' end state, count(*) n from ruleset group by 1",
     "snapshot_diff": """with a as (select id, arg_min(coalesce(checksum, '?'), (ingested_at, chunk_key)) c from chunks where id is not null group by 1),
         b as (select id, arg_max(coalesce(checksum, '?'), (ingested_at, chunk_key)) c from chunks where id is not null and coalesce(status, '') <> 'deleted' group by 1)
         select case when a.id is null then 'added' when b.id is null then 'removed' when a.c = b.c then 'unchanged' else 'changed' end "change", count(*) n from a full join b on a.id = b.id group by 1""",
     "gained_lost": """with h as (select pack, unnest(expected_hits) hit from eval_items), a as (select distinct hit from h where pack = 'semantic-pack-a'), b as (select distinct hit from h where pack = 'semantic-pack-b')
         select hit, 'gained' "change" from b where hit not in (select hit from a) union all select hit, 'lost' from a where hit not in (select hit from b)""",
-    "incremental_delete": f"""with {X.CHUNKS}, {X.RELATIONS}, g as (select file_id id from documents where status = 'deleted'), lost as (select id from g union select id from pieces where file_id in (select id from g))
-        select relation, count(*) n from stored where from_id not in (select id from lost) and to_id not in (select id from lost) group by 1""",
     "incremental_hydrate": f"with {X.FILES}, {X.CHUNKS}, {X.RELATIONS} select from_id, to_id, ord from stored where relation = 'DEFINES' and from_id in (select id from files where status <> 'deleted') and to_id in (select id from pieces where status <> 'deleted')",
     "prefix_delete": f"with {X.FILES} select string_split(path, '/')[1] repo, count(*) n from files where not (path = 'ledger-core/src' or path like 'ledger-core/src/%') group by 1",
     "parse_eligible": f"with {X.FILES}, {X.CHUNKS} select id from files where kind = 'CODE' and id not in (select file_id from pieces)",
@@ -389,7 +351,6 @@ SQL = {
     "external_calls": f"""with {X.FILES}, p as (select unnest(['fetch(', 'axios.', 'http.get', 'lookup(', '.push(']) call) select path, call from files, p where contains(content, call)""",
     "sanitised_evidence": "select count(*) filter (coalesce(query, '') = '') dropped, count(*) filter (length(passage) > 500) \"cut\", sum(length(substr(passage, 1, 500))) chars from eval_items",
     "orphan_rules": f"with {X.RULES}, {X.RELATIONS} select id from ruleset where id not in (select from_id from stored) and id not in (select to_id from stored)",
-    "contradictions": f"with {X.RULES}, r as (select *, string_split(title, ' ')[1] w from ruleset) select a.id id_a, b.id id_b from r a join r b on a.w = b.w and a.\"scope\" = b.\"scope\" and a.id < b.id where a.status <> b.status",
     "work_items": """select source, model from (select distinct source from mix_targets), (select distinct model from vectors where model is not null)
         where (source, model) not in (select distinct regexp_extract(id, '^chunk:([^/]+)/', 1), model from vectors where id is not null and model is not null)""",
     "folder_ancestors": f"""with recursive {X.FILES}, ds as (select distinct {_DIR} dir from files), parts as (select dir, string_split(dir, '/') p from ds),

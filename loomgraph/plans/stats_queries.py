@@ -86,12 +86,6 @@ def phase_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.select("user_id", "event_type", F.round(F.col("v") / F.sum("v").over(W.partitionBy("user_id")), 6).alias("share"))
 
 
-def memory_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Largest value per type of event with its event, and the number of samples."""
-    e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.max("value").alias("max_value"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("at_event"), n_rows().alias("samples"))
-
-
 def repo_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Per language: repositories, files, mean size weighted by files."""
     f = table(spark, d, "documents").where("kind = 'CODE'")
@@ -151,11 +145,6 @@ def latest_reports(spark: SparkSession, d: str) -> DataFrame:
     return S.latest(e, "file_id", F.col("reported_at"), "error_id").select("file_id", "error_id", "parser")
 
 
-def telemetry_by_type(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(n_rows().alias("calls"), F.count_if(F.col("value") > 50).alias("large"), F.round(F.sum("value"), 4).alias("total"), (n_rows() * 400).alias("tokens_saved"))
-
-
 def telemetry_delta(spark: SparkSession, d: str) -> DataFrame:
     """Counters since a push: totals minus what was pushed (here: every other event), never below zero."""
     e = table(spark, d, "events")
@@ -181,19 +170,6 @@ def review_summary(spark: SparkSession, d: str) -> DataFrame:
     return quality_gates(spark, d).agg(F.count_if("passed").alias("passed"), F.count_if(F.expr("not passed")).alias("failed"))
 
 
-def query_pack_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Expected hits that are indexed and active, per pack; the rank is the place in the item's list."""
-    e = table(spark, d, "eval_items").select("pack", "item_id", F.posexplode("expected_hits").alias("pos", "id"))
-    f = C.files(spark, d).where("status = 'active'").select("id", F.lit(1).alias("there"))
-    return S.recall(e.join(f, "id", "left").withColumn("rank", F.when(F.col("there") == 1, F.col("pos") + 1)), ["pack"])
-
-
-def must_keep_recall(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "eval_items").where("must_keep").select("category", "item_id", F.posexplode("expected_hits").alias("pos", "id"))
-    f = C.files(spark, d).select("id", F.lit(1).alias("there"))
-    return S.recall(e.join(f, "id", "left").withColumn("rank", F.when(F.col("there") == 1, F.col("pos") + 1)), ["category"])
-
-
 def line_windows(spark: SparkSession, d: str, size: int = 80, overlap: int = 16, least: int = 120, most: int = 8) -> DataFrame:
     """Overlapping windows of long chunks: the last allowed window takes the rest."""
     c = C.chunks(spark, d).select("id", "start_line", F.split("body", r"\r?\n").alias("lines")).withColumn("n", F.size("lines")).where((F.col("n") >= least) & (F.col("n") > size))
@@ -245,12 +221,6 @@ def capped_per_group(spark: SparkSession, d: str) -> DataFrame:
     return C.stored_relations(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 2").select("from_id", "relation", "to_id", "ord", "r")
 
 
-def audit_query(spark: SparkSession, d: str) -> DataFrame:
-    """Newest 50 entries of one kind within a range of days."""
-    e = table(spark, d, "events").where("event_type = 'error'").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return e.select("event_id", "day", "user_id").orderBy(F.desc("day"), F.desc("event_id")).limit(50)
-
-
 def listing_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return C.chunks(spark, d).groupBy("kind").agg(n_rows().alias("n")).orderBy(F.desc("n"), "kind")
 
@@ -264,9 +234,9 @@ def versions_descending(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     chunk_stats, chunk_char_distribution, chunk_line_distribution, char_histogram, degree_histogram, merged_histogram, graph_stats, vector_stats, embedding_stats,
-    coverage_by_extension, top_extensions, phase_durations, phase_shares, memory_summary, repo_rollup, corpus_totals, task_reduction, duplicate_ids, duplicate_texts,
-    membership_counts, size_slices, reference_time, latest_reports, telemetry_by_type, telemetry_delta, freshness, quality_gates, review_summary, query_pack_recall,
-    must_keep_recall, line_windows, idf_weights, lexical_evidence, best_per_path, capped_per_group, audit_query, listing_by_kind, versions_descending,
+    coverage_by_extension, top_extensions, phase_durations, phase_shares, repo_rollup, corpus_totals, task_reduction, duplicate_ids, duplicate_texts,
+    membership_counts, size_slices, reference_time, latest_reports, telemetry_delta, freshness, quality_gates, review_summary,
+    line_windows, idf_weights, lexical_evidence, best_per_path, capped_per_group, listing_by_kind, versions_descending,
 )}
 
 
@@ -305,7 +275,6 @@ SQL = {
     "phase_durations": """with e as (select event_type, (epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts)) / 1e6::double s from events)
         select event_type, count(s) n, round(sum(s), 3) "seconds" from e group by 1""",
     "phase_shares": "with p as (select user_id, event_type, sum(value) v from events where value > 0 group by 1, 2) select user_id, event_type, round(v / sum(v) over (partition by user_id), 6) \"share\" from p",
-    "memory_summary": "select event_type, max(value) max_value, arg_max(event_id, (value, -event_id)) at_event, count(*) samples from events group by 1",
     "repo_rollup": """with p as (select lang, source, count(*) n, avg(n_chars) m from documents where kind = 'CODE' group by 1, 2)
         select lang, count(distinct source) n_sources, sum(n) n_files, round(sum(m * n) / sum(n), 4) mean_chars from p group by 1""",
     "corpus_totals": "select count(*) files, sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) \"lines\", sum(length(coalesce(text, ''))) chars, sum(floor(length(coalesce(text, '')) / 4 + 0.5)::bigint) tokens from documents",
@@ -319,15 +288,10 @@ SQL = {
         (select updated_at from documents union all select updated_at from chunks union all select updated_at from modules union all select updated_at from rules)""",
     "latest_reports": """with e as (select distinct on (error_id) * from parser_errors where file_id is not null)
         select file_id, arg_max(error_id, (reported_at is not null, reported_at, -error_id)) error_id, arg_max(parser, (reported_at is not null, reported_at, -error_id)) parser from e group by 1""",
-    "telemetry_by_type": "select event_type, count(*) calls, count(*) filter (value > 50) \"large\", round(sum(value), 4) total, count(*) * 400 tokens_saved from events group by 1",
     "telemetry_delta": "select event_type, greatest(0, count(*) - count(*) filter (event_id % 2 = 0)) delta from events group by 1",
     "freshness": "select count(*) indexed, count(*) filter (status = 'deleted') pending, round((greatest(count(*), 1) - count(*) filter (status = 'deleted')) / greatest(count(*), 1)::double, 6) freshness from documents",
     "quality_gates": f"with {_GATES} select *, coalesce(actual <= threshold, false) passed from g",
     "review_summary": f"with {_GATES} select count(*) filter (coalesce(actual <= threshold, false)) passed, count(*) filter (not coalesce(actual <= threshold, false)) failed from g",
-    "query_pack_recall": f"""with {X.FILES}, h as (select pack, unnest(expected_hits) id, generate_subscripts(expected_hits, 1) r from eval_items), j as (select pack, case when f.id is not null then r end r from h left join (select id from files where status = 'active') f using (id))
-        select pack, count(*) expected, count(r) found, count(*) - count(r) missing, round(count(r) / count(*)::double * 100, 2) recall_pct, min(r) first_rank from j group by 1""",
-    "must_keep_recall": f"""with {X.FILES}, h as (select category, unnest(expected_hits) id, generate_subscripts(expected_hits, 1) r from eval_items where must_keep), j as (select category, case when f.id is not null then r end r from h left join (select id from files) f using (id))
-        select category, count(*) expected, count(r) found, count(*) - count(r) missing, round(count(r) / count(*)::double * 100, 2) recall_pct, min(r) first_rank from j group by 1""",
     "line_windows": f"""with {X.CHUNKS}, l as (select id, start_line, string_split_regex(body, '\\r?\\n') ls from pieces), c as (select *, len(ls) n, least(8, ceil((len(ls) - 80) / 64.0)::int + 1) k from l where len(ls) >= 120),
         w as (select *, unnest(generate_series(1, k)) i from c), b as (select *, (i - 1) * 64 s, case when i = k then n else least(n, (i - 1) * 64 + 80) end e from w)
         select id || ':window:' || i || ':' || (start_line + s) || '-' || (start_line + e - 1) id, md5(case when i = 8 then array_to_string(ls[s + 1:e], chr(10)) else substr(array_to_string(ls[s + 1:e], chr(10)), 1, 12000) end) body_hash from b""",
@@ -341,7 +305,6 @@ SQL = {
         select id, round(x, 6) score from s where x > 0 order by 2 desc, 1 limit 25""",
     "best_per_path": f"with {X.CHUNKS} select file_id, arg_min(id, (-length(body), id)) id from pieces group by 1",
     "capped_per_group": f"with {X.RELATIONS}, r as (select *, row_number() over (partition by from_id, relation order by ord) r from stored) select from_id, relation, to_id, ord, r from r where r <= 2",
-    "audit_query": "select event_id, strftime(ts, '%Y-%m-%d') \"day\", user_id from events where event_type = 'error' order by 2 desc, 1 desc limit 50",
     "listing_by_kind": f"with {X.CHUNKS} select kind, count(*) n from pieces group by 1",
     "versions_descending": """with v as (select distinct unnest(regexp_extract_all(text, '@(\\d+\\.\\d+\\.\\d+)', 1)) "version" from documents)
         select "version", row_number() over (order by list_transform(string_split("version", '.'), lambda x: x::int) desc, "version") place from v qualify place <= 20""",
