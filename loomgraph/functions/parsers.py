@@ -10,10 +10,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import languages as L
+
 Chunk = dict
 CHUNK_SCHEMA = (
     "file_id string, path string, name string, kind string, signature string, body string, description string, start_line int, end_line int, language string, "
-    "calls array<string>, imports array<string>"
+    "calls array<string>, imports array<string>, exported boolean"
 )
 # Statements that name another object.
 SQL_REFERENCES = tuple(rf"(?i)\b{w}\s+([#@]?[A-Za-z0-9_\[\].]+)" for w in (r"exec(?:ute)?", "from", "join", "update", r"insert\s+into", r"delete\s+from", r"merge\s+into"))
@@ -112,18 +114,34 @@ def resource_entries(text: str) -> Iterator[Chunk]:
 
 
 def python_chunks(text: str) -> Iterator[Chunk]:
-    """Functions and classes of a module with what they call and import; nothing for files that do not parse."""
+    """Functions and classes of a module with what they call and import; nothing for files that do not parse.
+
+    Calls are gathered in one walk: a call belongs to every function and class around it.
+    """
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return
     lines = text.splitlines()
-    imports = sorted({a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names} | {n.module for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) and n.module})
-    for n in ast.walk(tree):
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            calls = {c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(n) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))}
-            yield {"name": n.name, "kind": "class" if isinstance(n, ast.ClassDef) else "function", "signature": lines[n.lineno - 1].strip().rstrip(":"), "body": "\n".join(lines[n.lineno - 1 : n.end_lineno]),
-                   "description": (ast.get_docstring(n) or "").split("\n")[0], "start_line": n.lineno, "end_line": n.end_lineno, "language": "python", "calls": sorted(calls), "imports": imports}
+    imports: set[str] = set()
+    blocks: list[tuple[ast.AST, set[str]]] = []
+    todo: list[tuple[ast.AST, tuple[int, ...]]] = [(tree, ())]
+    while todo:
+        n, around = todo.pop()
+        if isinstance(n, ast.Import):
+            imports |= {a.name for a in n.names}
+        elif isinstance(n, ast.ImportFrom) and n.module:
+            imports.add(n.module)
+        elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            around = (*around, len(blocks))
+            blocks.append((n, set()))
+        elif isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute)):
+            for i in around:
+                blocks[i][1].add(n.func.id if isinstance(n.func, ast.Name) else n.func.attr)
+        todo += [(c, around) for c in ast.iter_child_nodes(n)]
+    for n, calls in sorted(blocks, key=lambda b: b[0].lineno):
+        yield {"name": n.name, "kind": "class" if isinstance(n, ast.ClassDef) else "function", "signature": lines[n.lineno - 1].strip().rstrip(":"), "body": "\n".join(lines[n.lineno - 1 : n.end_lineno]),
+               "description": (ast.get_docstring(n) or "").split("\n")[0], "start_line": n.lineno, "end_line": n.end_lineno, "language": "python", "calls": sorted(calls), "imports": sorted(imports), "exported": not n.name.startswith("_")}
 
 
 def solution_projects(text: str) -> Iterator[Chunk]:
@@ -132,17 +150,25 @@ def solution_projects(text: str) -> Iterator[Chunk]:
         yield {"name": m.group(1), "kind": "project", "signature": m.group(2).replace("\\", "/"), "body": m.group(), "start_line": _line(text, m.start()), "end_line": _line(text, m.start()), "language": "dotnet"}
 
 
+def project_items(text: str) -> Iterator[Chunk]:
+    """Files and projects that a project names."""
+    for m in re.finditer(r'(?i)<(Compile|Content|EmbeddedResource|None|Page|ApplicationDefinition|ProjectReference)\b[^>]*\bInclude="([^"]+)"[^>]*>', text):
+        at = _line(text, m.start())
+        yield {"name": html.unescape(m.group(2)).replace("\\", "/"), "kind": "project_reference" if m.group(1).lower() == "projectreference" else "project_item", "signature": f"{m.group(1)} {m.group(2)}", "body": m.group(),
+               "start_line": at, "end_line": at, "language": "dotnet"}
+
+
 #: Parser by extension. Add to it to support more languages.
 REGISTRY: dict[str, Callable[[str], Iterator[Chunk]]] = {
     ".sql": sql_objects, ".md": markdown_sections, ".mdx": markdown_sections, ".config": config_entries, ".resx": resource_entries,
-    ".settings": resource_entries, ".py": python_chunks, ".sln": solution_projects,
+    ".settings": resource_entries, ".py": python_chunks, ".sln": solution_projects, **{e: L.parser_for(e) for e in L.BY_EXTENSION}, **dict.fromkeys((".csproj", ".vbproj", ".fsproj", ".vcxproj"), project_items),
 }
 
 
 def parse_files(files: DataFrame, registry: dict[str, Callable[[str], Iterator[Chunk]]] | None = None) -> DataFrame:
     """Chunks of ``files(id, path, content)`` by the parser of their extension; others, null and empty texts have none."""
     known = registry or REGISTRY
-    empty = {"signature": "", "body": "", "description": "", "start_line": 1, "end_line": 1, "language": "", "calls": [], "imports": []}
+    empty = {"signature": "", "body": "", "description": "", "start_line": 1, "end_line": 1, "language": "", "calls": [], "imports": [], "exported": False}
 
     def run(frames):
         for f in frames:
@@ -150,8 +176,8 @@ def parse_files(files: DataFrame, registry: dict[str, Callable[[str], Iterator[C
             for i, p, t in zip(f["id"], f["path"], f["content"], strict=True):
                 ext = re.search(r"\.[^./]+$", (p or "").lower())
                 parser = known.get(ext.group()) if ext else None
-                if parser and t:
+                if parser and isinstance(t, str) and t:
                     rows += [{**empty, **c, "file_id": i, "path": p} for c in parser(t)]
-            yield pd.DataFrame(rows, columns=["file_id", "path", "name", "kind", "signature", "body", "description", "start_line", "end_line", "language", "calls", "imports"])
+            yield pd.DataFrame(rows, columns=["file_id", "path", "name", "kind", "signature", "body", "description", "start_line", "end_line", "language", "calls", "imports", "exported"])
 
     return files.select("id", "path", "content").mapInPandas(run, CHUNK_SCHEMA)

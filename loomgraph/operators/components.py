@@ -50,6 +50,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     return nodes.join(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m")), "node", "left").select(
         "node", F.coalesce("_m", "node").alias("component")
     )

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the session's ``spark.checkpoint.dir`` where it is set.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Only a session on one machine (a local test) without that setting gets a temporary folder; on a cluster
+    its lack is an error, as a folder of one machine would not be there for the others.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomgraph-"))
     return sc.getCheckpointDir()
 
 

@@ -23,7 +23,9 @@ def _count(name: str = "n"):
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    c = P.parse_files(C.files(spark, d))
+    from . import sample_files as SF
+
+    c = P.parse_files(SF.files(spark, d).repartition(spark.sparkContext.defaultParallelism, "id"))
     return c.withColumn("id", F.concat(F.lit("chunk:"), "path", F.lit(":"), "name", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
 
 
@@ -53,7 +55,9 @@ def config_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calls_in_file(spark: SparkSession, d: str) -> DataFrame:
-    return I.calls_in_file(_parsed(spark, d).where("language = 'python'"))
+    """CALLS within files: names that a chunk calls and another of its file has; methods go by their own name."""
+    c = _parsed(spark, d).where("language not in ('sql', 'markdown', 'config', 'resource', 'dotnet')")
+    return I.calls_in_file(c.withColumn("name", F.element_at(F.split("name", r"\."), -1)))
 
 
 def sql_references(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +65,9 @@ def sql_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_resolution(spark: SparkSession, d: str) -> DataFrame:
-    f = C.files(spark, d)
+    from . import sample_files as SF
+
+    f = SF.files(spark, d)
     imp = f.where("kind = 'CODE'").select(F.col("id").alias("from_id"), "path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"""(?m)^(?:import|export)\b[^;\n]*?\bfrom\s+["'](\.[^"'\n]+)["']"""), F.lit(1)))).alias("target"))
     return I.resolve_imports(imp, f)
 

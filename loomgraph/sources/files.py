@@ -11,6 +11,9 @@ from pyspark.sql.types import StructType
 # Folders that a tree scan leaves out, and the largest file it takes.
 SKIP_FOLDERS = ".git .idea .vscode node_modules bin obj dist build coverage .next .cache .context".split()
 MAX_FILE_BYTES = 1024 * 1024
+# Extensions of files that hold text.
+TEXT_NAMES = (r"\.(?:md|mdx|txt|adoc|rst|yaml|yml|json|toml|csv|ts|tsx|js|jsx|mjs|cjs|mts|cts|py|go|java|cs|sln|vbproj|csproj|fsproj|vcxproj|props|targets|config|resx|settings|rb|rs|php|swift|kt|vb|sql|sh|bash|zsh|ps1|"
+              r"c|cc|cpp|h|hh|hpp|bas|cls|frm|ctl)$")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, required: list[str] | None = None) -> DataFrame:
@@ -21,6 +24,53 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, require
     return rows
 
 
+def read_snapshot(spark: SparkSession, path: str, schema: StructType | str, count: int | None = None, sha256: str | None = None) -> DataFrame:
+    """A snapshot of JSON lines as its manifest describes it: ValueError where the rows or the bytes are others.
+
+    The bytes are hashed file by file on the executors; only the hashes come to the driver.
+    """
+    if sha256 is not None and snapshot_hash(spark, path) != sha256:
+        raise ValueError(f"{path} has another content")
+    rows = read_jsonl(spark, path, schema)
+    if count is not None and rows.count() != count:
+        raise ValueError(f"{path} has another number of rows")
+    return rows
+
+
+def snapshot_hash(spark: SparkSession, path: str) -> str:
+    """One hash over the files of a folder, in order of their names: the hash of their hashes."""
+    import hashlib
+
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
+    return hashlib.sha256("".join(r["h"] for r in parts.where(~F.col("name").startswith("_")).orderBy("name").collect()).encode()).hexdigest()
+
+
+def site_json(spark: SparkSession, root: str, version: str, repo: str | None = None) -> DataFrame:
+    """Details of repositories as one JSON document each, under ``root/version/repos/name.json``; a slash in a name is two underscores."""
+    name = "*" if repo is None else repo.replace("/", "__")
+    return spark.read.option("multiLine", True).json(f"{root.rstrip('/')}/{version}/repos/{name}.json").withColumn("version", F.lit(version))
+
+
+def upsert_rows(spark: SparkSession, root: str, rows: DataFrame, key: str, batch: str) -> None:
+    """Add a batch of rows to a store without a reset: written under the batch's name, so a repeated batch replaces itself."""
+    rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch={batch}")
+
+
+def read_rows(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The rows of such a store: of each key the one of the last batch by name."""
+    rows = spark.read.parquet(f"{root.rstrip('/')}/*")
+    rest = [c for c in rows.columns if c not in (key, "_batch", "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(key, "_r.*")
+
+
+def write_entities(tables: dict[str, DataFrame], root: str) -> None:
+    """JSON lines and tab-separated values of every table, each under its name: ``entities.file``, ``relations.calls``."""
+    for name, rows in tables.items():
+        write_jsonl(rows, f"{root.rstrip('/')}/jsonl/{name}")
+        flat = rows.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in rows.dtypes])
+        write_tsv(flat, f"{root.rstrip('/')}/tsv/{name}")
+
+
 def bad_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are no JSON object, with their file."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
@@ -60,20 +110,27 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:(//)?", ""), "^" + re.escape(root.rstrip("/")) + "/", "")
-    files = raw.select(rel.alias("path"), F.col("length").alias("size"), "content", "modificationTime")
+    # A link to elsewhere shows by a path outside of the folder.
+    files = raw.select(rel.alias("path"), F.col("length").alias("size"), "content", "modificationTime").where(~F.col("path").startswith("/") & ~F.col("path").contains("://"))
     top = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     hidden = F.exists(top, lambda x: x.isin(*[s for s in SKIP_FOLDERS if s != "bin"])) | F.exists(F.slice(top, 2, 1000), lambda x: x == "bin")
     binary = F.locate("00", F.regexp_replace(F.hex(F.substring("content", 1, 4000)), "(..)", "$1 ")) % 3 == 1
-    why = F.when(F.col("size") > MAX_FILE_BYTES, "too large").when(binary, "binary").otherwise("")
+    base = F.lower(F.element_at(F.split("path", "/"), -1))
+    texty = base.rlike(TEXT_NAMES) | base.startswith("readme")
+    why = F.when(~texty, "unsupported").when(F.col("size") > MAX_FILE_BYTES, "too large").when(binary, "binary").otherwise("")
     return files.where(~hidden).select("path", "size", F.when(why == "", F.decode("content", "UTF-8")).alias("text"), why.alias("skipped"), "modificationTime")
 
 
 def with_prefixes(rows: DataFrame, path: str, prefixes: list[str]) -> DataFrame:
-    """Rows whose path is one of the source paths or lies in it."""
+    """Rows whose path is one of the source paths or lies in it, and below it in no folder that a scan leaves out."""
     ok = F.lit(False)
+    skipped = F.array(*[F.lit(s) for s in SKIP_FOLDERS])
     for p in prefixes:
         p = p.strip("/")
-        ok = ok | F.lit(p in ("", ".")) | (F.col(path) == p) | F.col(path).startswith(p + "/")
+        p = "" if p == "." else p
+        below = F.col(path) if not p else F.when(F.col(path).startswith(p + "/"), F.expr(f"substring(`{path}`, {len(p) + 2})"))
+        free = ~F.arrays_overlap(F.slice(F.split(below, "/"), F.lit(1), F.greatest(F.size(F.split(below, "/")) - 1, F.lit(0))), skipped)
+        ok = ok | (F.col(path) == p) | F.coalesce(free, F.lit(False))
     return rows.where(ok)
 
 
@@ -112,6 +169,12 @@ def front_matter(text: Column) -> Column:
     return F.map_from_entries(F.transform(pairs, entry))
 
 
+def list_of(value: Column) -> Column:
+    """A value of front matter as a list: parted by commas, brackets and quotes don't count; null and empty give none."""
+    items = F.transform(F.split(F.regexp_replace(value, r"^\s*\[|\]\s*$", ""), ","), lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", ""))
+    return F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: x != "")
+
+
 def source_paths(yaml: str) -> list[str]:
     """Paths under ``source_paths:`` of a small configuration."""
     block = re.search(r"(?m)^source_paths:\s*\n((?:[ \t]+-.*\n?|\s*#.*\n?)*)", yaml + "\n")
@@ -146,6 +209,12 @@ def coverage_totals(spark: SparkSession, lcov_path: str) -> DataFrame:
         "line_pct", F.when(F.col("lines") > 0, F.col("lines_hit") / F.col("lines") * 100))
 
 
+def coverage_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Lines and branches covered, from a summary in JSON: its ``total`` with the counts and percentages."""
+    total = spark.read.option("multiLine", True).json(path).select("total.*")
+    return total.select(F.col("lines.total").alias("lines"), F.col("lines.covered").alias("lines_hit"), F.col("branches.total").alias("branches"), F.col("branches.covered").alias("branches_hit"), F.col("lines.pct").cast("double").alias("line_pct"))
+
+
 def processes(spark: SparkSession, listing: list[str]) -> DataFrame:
     """``(pid, ppid, user, comm, args)`` of a process listing; lines of another form are dropped."""
     rows = spark.createDataFrame([(x,) for x in listing], "line string")
