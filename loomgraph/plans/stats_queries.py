@@ -145,13 +145,6 @@ def latest_reports(spark: SparkSession, d: str) -> DataFrame:
     return S.latest(e, "file_id", F.col("reported_at"), "error_id").select("file_id", "error_id", "parser")
 
 
-def telemetry_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Counters since a push: totals minus what was pushed (here: every other event), never below zero."""
-    e = table(spark, d, "events")
-    half = e.where("event_id % 2 = 0").groupBy("event_type").agg(n_rows().alias("pushed"))
-    return e.groupBy("event_type").agg(n_rows().alias("total")).join(half, "event_type", "left").select("event_type", F.greatest(F.lit(0), F.col("total") - F.coalesce("pushed", F.lit(0))).alias("delta"))
-
-
 def freshness(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "documents")
     row = f.agg(n_rows().alias("indexed"), F.count_if(F.expr("status = 'deleted'")).alias("pending"))
@@ -226,16 +219,20 @@ def listing_by_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 def versions_descending(spark: SparkSession, d: str) -> DataFrame:
-    """Versions named in texts, highest first: by their numbers, not as text."""
-    t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"@(\d+\.\d+\.\d+)"), F.lit(1))).alias("version")).distinct()
-    nums = F.transform(F.split("version", r"\."), lambda x: x.cast("int"))
-    return t.select("version", F.row_number().over(W.orderBy(F.desc(nums), "version")).alias("place")).where("place <= 20")
+    """The twenty highest versions named in texts: by their numbers, releases above their pre-releases."""
+    p = r"@(\d+\.\d+\.\d+(?:-[0-9A-Za-z.]+)?)"
+    t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(1))).alias("version")).distinct()
+    t = t.unionByName(spark.createDataFrame([("99.0.0",), ("99.0.0-rc.1",), ("99.0.0-beta",)], "version string"))
+    nums = F.transform(F.split(F.split("version", "-")[0], r"\."), lambda x: x.cast("int"))
+    pre = F.get(F.split("version", "-", 2), F.lit(1))
+    best = t.select("version", nums.alias("nums"), pre.alias("pre")).orderBy(F.desc("nums"), F.desc(F.col("pre").isNull()), F.desc("pre"), "version").limit(20)
+    return best.select("version", F.row_number().over(W.orderBy(F.desc("nums"), F.desc(F.col("pre").isNull()), F.desc("pre"), "version")).alias("place"))
 
 
 QUERIES = {f.__name__: f for f in (
     chunk_stats, chunk_char_distribution, chunk_line_distribution, char_histogram, degree_histogram, merged_histogram, graph_stats, vector_stats, embedding_stats,
     coverage_by_extension, top_extensions, phase_durations, phase_shares, repo_rollup, corpus_totals, task_reduction, duplicate_ids, duplicate_texts,
-    membership_counts, size_slices, reference_time, latest_reports, telemetry_delta, freshness, quality_gates, review_summary,
+    membership_counts, size_slices, reference_time, latest_reports, freshness, quality_gates, review_summary,
     line_windows, idf_weights, lexical_evidence, best_per_path, capped_per_group, listing_by_kind, versions_descending,
 )}
 
@@ -288,7 +285,6 @@ SQL = {
         (select updated_at from documents union all select updated_at from chunks union all select updated_at from modules union all select updated_at from rules)""",
     "latest_reports": """with e as (select distinct on (error_id) * from parser_errors where file_id is not null)
         select file_id, arg_max(error_id, (reported_at is not null, reported_at, -error_id)) error_id, arg_max(parser, (reported_at is not null, reported_at, -error_id)) parser from e group by 1""",
-    "telemetry_delta": "select event_type, greatest(0, count(*) - count(*) filter (event_id % 2 = 0)) delta from events group by 1",
     "freshness": "select count(*) indexed, count(*) filter (status = 'deleted') pending, round((greatest(count(*), 1) - count(*) filter (status = 'deleted')) / greatest(count(*), 1)::double, 6) freshness from documents",
     "quality_gates": f"with {_GATES} select *, coalesce(actual <= threshold, false) passed from g",
     "review_summary": f"with {_GATES} select count(*) filter (coalesce(actual <= threshold, false)) passed, count(*) filter (not coalesce(actual <= threshold, false)) failed from g",
@@ -306,6 +302,7 @@ SQL = {
     "best_per_path": f"with {X.CHUNKS} select file_id, arg_min(id, (-length(body), id)) id from pieces group by 1",
     "capped_per_group": f"with {X.RELATIONS}, r as (select *, row_number() over (partition by from_id, relation order by ord) r from stored) select from_id, relation, to_id, ord, r from r where r <= 2",
     "listing_by_kind": f"with {X.CHUNKS} select kind, count(*) n from pieces group by 1",
-    "versions_descending": """with v as (select distinct unnest(regexp_extract_all(text, '@(\\d+\\.\\d+\\.\\d+)', 1)) "version" from documents)
-        select "version", row_number() over (order by list_transform(string_split("version", '.'), lambda x: x::int) desc, "version") place from v qualify place <= 20""",
+    "versions_descending": """with v as (select distinct unnest(regexp_extract_all(text, '@(\\d+\\.\\d+\\.\\d+(?:-[0-9A-Za-z.]+)?)', 1)) "version" from documents union all select unnest(['99.0.0', '99.0.0-rc.1', '99.0.0-beta'])),
+        p as (select *, list_transform(string_split(string_split("version", '-')[1], '.'), lambda x: x::int) n, case when instr("version", '-') > 0 then regexp_replace("version", '^[^-]*-', '') end pre from v)
+        select "version", row_number() over (order by n desc, pre is null desc, pre desc, "version") place from p qualify place <= 20""",
 }

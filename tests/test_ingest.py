@@ -82,7 +82,7 @@ def test_injections_and_secrets(spark):
 def test_outline_and_neutralise(spark):
     df = spark.createDataFrame([('{"a": "secret", "b": [1, {"c": "x"}]}',), ("no json",), (None,)], "t string")
     got = [r[0] for r in df.select(S.outline(F.col("t"))).collect()]
-    assert "secret" not in got[0] and '"length": 6' in got[0] and got[1:] == [None, None]
+    assert "secret" not in got[0] and '"length":6' in got[0] and got[1:] == [None, None]
     assert df.select(S.neutralise(F.lit("<system> [INST]"))).first()[0] == "&lt;system> [_[INST]_]"
 
 

@@ -23,11 +23,11 @@ def test_tsv_has_one_line_per_row(spark, tmp_path):
 
 
 def test_tree_scan(spark, tmp_path):
-    for p, b in (("a.txt", b"x"), ("bin/b.txt", b"y"), ("src/bin/c.txt", b"z"), ("node_modules/d.txt", b"z"), ("e.bin", b"a\0b")):
+    for p, b in (("a.txt", b"x"), ("bin/b.txt", b"y"), ("src/bin/c.txt", b"z"), ("node_modules/d.txt", b"z"), ("e.txt", b"a\0b"), ("f.bin", b"q")):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_bytes(b)
     got = {r["path"]: (r["text"], r["skipped"]) for r in S.scan_tree(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": ("x", ""), "bin/b.txt": ("y", ""), "e.bin": (None, "binary")}
+    assert got == {"a.txt": ("x", ""), "bin/b.txt": ("y", ""), "e.txt": (None, "binary"), "f.bin": (None, "unsupported")}
 
 
 def test_status_and_processes(spark):
