@@ -165,29 +165,38 @@ def _join_batches(allowed: int, ratio: float):
     return run
 
 
-def split_hot(rows: DataFrame, key: str, spread: str, blocks: int, hot_share: float) -> DataFrame:
-    """Adds ``block`` and ``side``. Keys above ``hot_share`` of all rows are split in blocks, and every two
-    blocks meet in a task of their own; a bounded sketch without shuffle names those keys. Rows of side 3
-    are to be compared with each other, rows of side 1 with those of side 2."""
-    tracked = int(4 / hot_share)
-    top = rows.agg(
-        F.expr(f"approx_top_k({key}, {min(1000, int(1 / hot_share))}, {tracked})").alias("t"), F.count(F.lit(1)).alias("n")
-    ).first()
-    hot = [x["item"] for x in (top["t"] or []) if x["count"] > max(4096, hot_share * top["n"])]
-    if not hot:
+#: Rows of one key that a task compares at once; keys with more are split in blocks of about this size.
+BLOCK_ROWS = 16_384
+#: Copies of one set that are paired at once.
+PAIR_ROWS = 2_048
+#: Split keys that may be sent to all tasks: 16 bytes each.
+MAX_SENT = 1_000_000
+
+
+def split_hot(rows: DataFrame, key: str, spread: str, most: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``block`` and ``side``. Keys of more than ``most`` rows are split in blocks of about that size, and
+    every two blocks meet in a task of their own, so a task holds at most about twice ``most`` rows however
+    large a key is. Rows of side 3 are to be compared with each other, rows of side 1 with those of side 2.
+
+    Keys are counted exactly, combined before the shuffle; at most one in ``most`` rows names a split key, and
+    these are sent to all tasks while they are few, else joined.
+    """
+    hot = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_b")))
+    n = hot.count()
+    if not n:
         return rows.withColumn("block", F.lit(0)).withColumn("side", F.lit(3))
-    own = F.pmod(F.xxhash64(spread), F.lit(blocks)).cast("int")
+    # A block is numbered by its two parts: the smaller, then the larger.
+    own = F.pmod(F.xxhash64(spread), F.col("_b")).cast("int")
     pairs = F.transform(
-        F.sequence(F.lit(0), F.lit(blocks - 1)),
+        F.sequence(F.lit(0), F.col("_b") - 1),
         lambda o: F.struct(
-            (F.least(o, own) * blocks + F.greatest(o, own)).alias("block"),
+            (F.least(o, own).cast("long") * F.col("_b") + F.greatest(o, own)).alias("block"),
             F.when(o == own, 3).when(own < o, 1).otherwise(2).alias("side"),
         ),
     )
-    alone = F.array(F.struct(F.lit(0).alias("block"), F.lit(3).alias("side")))
-    return rows.withColumn("p", F.explode(F.when(F.col(key).isin(hot), pairs).otherwise(alone))).select(
-        "*", "p.block", "p.side"
-    ).drop("p")
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("block"), F.lit(3).alias("side")))
+    marked = rows.join(F.broadcast(hot) if n <= MAX_SENT else hot, key, "left")
+    return marked.withColumn("p", F.explode(F.when(F.col("_b").isNotNull(), pairs).otherwise(alone))).select(*rows.columns, "p.block", "p.side")
 
 
 def key_groups(batches, key: str):
@@ -220,10 +229,10 @@ def sketch_classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return members, classes.select("rep", "n", "bits", "bands")
 
 
-def similar_classes(docs: DataFrame, classes: DataFrame, k: int, threshold: float, blocks: int = 16,
-                    hot_share: float = 0.001, max_broadcast_keys: int = 1_000_000) -> DataFrame:
+def similar_classes(docs: DataFrame, classes: DataFrame, k: int, threshold: float, most: int = BLOCK_ROWS,
+                    max_broadcast_keys: int = 1_000_000) -> DataFrame:
     """Pairs ``(a, b, shared, n_a, n_b)`` of class representatives whose similarity is at least ``threshold``."""
-    rows = split_hot(classes.select("rep", "n", "bits", F.explode("bands").alias("band")), "band", "rep", blocks, hot_share)
+    rows = split_hot(classes.select("rep", "n", "bits", F.explode("bands").alias("band")), "band", "rep", most)
     found = (
         rows.repartition("band", "block").sortWithinPartitions("band", "block")
         .mapInArrow(_join_batches(budget(threshold), threshold), "a long, b long")
@@ -287,8 +296,21 @@ def similar_pairs(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     left = members.select(F.col("rep").alias("a"), F.col("key").alias("x"))
     right = members.select(F.col("rep").alias("b"), F.col("key").alias("y"))
     between = links.join(left, "a").join(right, "b")
-    within = left.join(right, F.col("a") == F.col("b")).where("x < y")
-    return between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(within.select("x", "y"))
+    # A class of very many copies is split in blocks that meet pairwise, each pair of blocks in its own place.
+    parts = split_hot(members, "rep", "key", PAIR_ROWS)
+    one = parts.select("rep", "block", F.col("side").alias("s"), F.col("key").alias("x"))
+    two = parts.select("rep", "block", F.col("side").alias("t"), F.col("key").alias("y"))
+    within = one.join(two, ["rep", "block"]).where("(s = 3 and t = 3 and x < y) or (s = 1 and t = 2)")
+    return between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(within.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
+def links_and_members(docs: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The linear form: ``(a, b)`` of class representatives that are similar, and ``(key, rep)`` of every text with a run.
+
+    Together they hold every pair: those of one class, and those of two classes that are linked.
+    """
+    members, classes = sketch_classes(docs, k)
+    return similar_classes(docs, classes, k, threshold).select("a", "b"), members
 
 
 def groups(docs: DataFrame, k: int, threshold: float) -> DataFrame:

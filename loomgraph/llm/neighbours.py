@@ -9,24 +9,26 @@ products. The vectors travel as 16-bit integers; cosines are off by about 4e-6.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from .neardups import key_groups, split_hot
+from .neardups import BLOCK_ROWS, key_groups, split_hot
 from .words import MUL, mix
 
 #: Vectors in a list, apart from replicas.
 LIST_SIZE = 256
-#: Lists in all. Bounds the centroids that every task gets to 33 MB at 128 numbers each.
+#: Lists in all. Bounds the centroids that every task gets to 33 MB at 128 numbers each. From 16.8 million vectors
+#: on lists get longer instead; those above ``BLOCK_ROWS`` are compared in blocks, so tasks stay bounded.
 MAX_LISTS = 65_536
 #: Lists that one vector goes to, and how much farther than the nearest centroid theirs may be.
 REPLICAS, RATIO = 6, 1.25
-#: Sampled vectors for training: at least, and for each list.
-SAMPLE_ROWS, SAMPLE_PER_LIST = 32_768, 8
-#: Centroids up to which a search looks at all of them; above, it walks the graph.
-SCAN_LISTS, GRAPH_LINKS, BEAM = 2_048, 24, 32
+#: Sampled vectors for the coarse parts, which are fitted in the driver, and for each list, which are fitted on the executors.
+COARSE_ROWS, SAMPLE_PER_LIST = 8_192, 64
+#: Links of a centroid, and centroids that a search keeps in view. So few centroids as are in view at once are all looked at.
+GRAPH_LINKS, BEAM = 24, 32
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -68,52 +70,50 @@ def train_centroids(sample: np.ndarray, lists: int, seed: int = 7, fanout: int =
 
 
 class CentroidGraph:
-    """Nearest-centroid search for batches of queries.
+    """Nearest-centroid search for batches of queries, by walking a graph in memory.
 
-    Up to SCAN_LISTS centroids one matrix product finds the nearest exactly. Above that every centroid is
-    linked to its nearest ones; a search starts at the best of a few evenly drawn entry nodes and follows
-    the links of the best nodes found so far until they lead no further.
+    Every centroid is linked to its nearest ones. A search starts at the best of a few evenly drawn entry
+    nodes and follows the links of the best nodes in view until the best ``k`` have all been followed.
     """
 
     def __init__(self, centroids: np.ndarray):
         self.c = centroids
-        self.links = self.entries = None
         n = len(centroids)
-        if n > SCAN_LISTS:
-            self.links = np.empty((n, GRAPH_LINKS), dtype=np.int32)
-            for a in range(0, n, 1024):
-                s = centroids[a : a + 1024] @ centroids.T
-                self.links[a : a + 1024] = np.argpartition(-s, GRAPH_LINKS, axis=1)[:, :GRAPH_LINKS]
-            self.entries = np.unique(np.linspace(0, n - 1, int(4 * np.sqrt(n))).astype(np.int64))
+        links = min(GRAPH_LINKS, n - 1)
+        self.links = np.empty((n, links), dtype=np.int32)
+        for a in range(0, n if links else 0, 1024):
+            s = centroids[a : a + 1024] @ centroids.T
+            s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
+            self.links[a : a + 1024] = np.argpartition(-s, links - 1, axis=1)[:, :links]
+        self.entries = np.unique(np.linspace(0, n - 1, max(BEAM, int(4 * np.sqrt(n)))).astype(np.int64))
 
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of about the ``k`` nearest centroids of each row, nearest first."""
         k = min(k, len(self.c))
-        if self.links is None:
-            s = x @ self.c.T
-            ids = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            got = np.take_along_axis(s, ids, axis=1)
-        else:
-            s = x @ self.c[self.entries].T
-            top = np.argpartition(-s, BEAM, axis=1)[:, :BEAM]
-            ids, got = self.entries[top], np.take_along_axis(s, top, axis=1)
-            seen = np.zeros(ids.shape, dtype=bool)
-            for _ in range(8):
-                order = np.argsort(np.where(seen, 9, -got), axis=1, kind="stable")[:, :4]
-                grown = self.links[np.take_along_axis(ids, order, axis=1)].reshape(len(x), -1)
-                np.put_along_axis(seen, order, True, axis=1)
-                new = np.einsum("ij,ikj->ik", x, self.c[grown], optimize=False)
-                ids, got = np.concatenate((ids, grown), axis=1), np.concatenate((got, new), axis=1)
-                seen = np.concatenate((seen, np.zeros(grown.shape, dtype=bool)), axis=1)
-                order = np.lexsort((-seen.astype(np.int8), ids), axis=1)
-                ids, got, seen = (np.take_along_axis(v, order, axis=1) for v in (ids, got, seen))
-                got[:, 1:][ids[:, 1:] == ids[:, :-1]] = -9
-                keep = np.argpartition(-got, BEAM, axis=1)[:, :BEAM]
-                ids, got, seen = (np.take_along_axis(v, keep, axis=1) for v in (ids, got, seen))
-            keep = np.argpartition(-got, k - 1, axis=1)[:, :k]
-            ids, got = np.take_along_axis(ids, keep, axis=1), np.take_along_axis(got, keep, axis=1)
-        order = np.argsort(-got, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, axis=1), np.take_along_axis(got, order, axis=1)
+        beam = min(BEAM, len(self.entries))
+        s = x @ self.c[self.entries].T
+        top = np.argsort(-s, axis=1, kind="stable")[:, :beam]
+        ids, got = self.entries[top], np.take_along_axis(s, top, axis=1)
+        seen = np.zeros(ids.shape, dtype=bool)
+        live = np.arange(len(x)) if self.links.shape[1] and len(self.entries) < len(self.c) else np.zeros(0, dtype=np.int64)
+        while len(live):
+            i, g, f = ids[live], got[live], seen[live]
+            # The two best nodes not followed yet, as long as they are among the best k.
+            order = np.argsort(np.where(f, 9, -g), axis=1, kind="stable")[:, :2]
+            grown = self.links[np.take_along_axis(i, order, axis=1)].reshape(len(live), -1)
+            np.put_along_axis(f, order, True, axis=1)
+            new = np.matmul(self.c[grown], x[live][:, :, None])[:, :, 0]
+            i, g = np.concatenate((i, grown), axis=1), np.concatenate((g, new), axis=1)
+            f = np.concatenate((f, np.zeros(grown.shape, dtype=bool)), axis=1)
+            # Copies of one node stand together, followed ones first; later ones drop out.
+            order = np.lexsort((~f, i), axis=1)
+            i, g, f = (np.take_along_axis(v, order, axis=1) for v in (i, g, f))
+            g[:, 1:][i[:, 1:] == i[:, :-1]] = -9
+            keep = np.argsort(-g, axis=1, kind="stable")[:, :beam]
+            i, g, f = (np.take_along_axis(v, keep, axis=1) for v in (i, g, f))
+            ids[live], got[live], seen[live] = i, g, f
+            live = live[~f[:, :k].all(axis=1)]
+        return ids[:, :k], got[:, :k]
 
 
 def usable_matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +191,47 @@ def _compare(dims: int, k: int, least: float, step: int = 1024):
     return run
 
 
+def _draw(rows: DataFrame, n: int, size: int) -> DataFrame:
+    """About ``size`` of ``n`` rows by a hash of their keys: the same rows however they lie."""
+    grain = 1 << 30
+    return rows if n <= size else rows.where(F.pmod(F.xxhash64("key"), F.lit(grain)) < int(size / n * grain))
+
+
+def fit_lists(rows: DataFrame, n: int, lists: int, dims: int) -> np.ndarray:
+    """Centroids of ``lists`` lists from bounded samples.
+
+    A sample of at most about COARSE_ROWS comes to the driver (4 MB) and is parted by k-means. A larger one,
+    SAMPLE_PER_LIST vectors for each list, stays on the executors: every part of it is split there into its
+    share of the lists, and only the centroids come back, at most 33 MB.
+    """
+    first = _draw(rows, n, COARSE_ROWS).select("vector").toArrow().column("vector").combine_chunks()
+    first = first.combine_chunks() if isinstance(first, pa.ChunkedArray) else first
+    _, x = usable_matrix(first, dims)
+    x = x.astype(np.float32)
+    if n <= COARSE_ROWS or lists <= 16:
+        return train_centroids(x, lists)
+    coarse = train_centroids(x, max(2, min(256, int(np.sqrt(lists)))))
+    share = max(1.0, min(n, SAMPLE_PER_LIST * lists) / lists)
+
+    def part(batches):
+        for batch in batches:
+            _, v = usable_matrix(batch.column("vector"), dims)
+            own = (v.astype(np.float32) @ coarse.T).argmax(axis=1) if len(v) else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([r.tobytes() for r in v.astype(np.float32)], pa.binary())], names=["part", "v"])
+
+    def fit(pdf):
+        v = np.frombuffer(b"".join(pdf["v"]), dtype=np.float32).reshape(len(pdf), dims)
+        order = np.lexsort(v.T[:4])  # the fit must not hang on the order in which rows arrive
+        c = train_centroids(v[order], max(1, round(len(v) / share)))
+        return pd.DataFrame({"c": [r.tobytes() for r in c]})
+
+    sample = _draw(rows, n, SAMPLE_PER_LIST * lists).mapInArrow(part, "part int, v binary")
+    got = sample.groupBy("part").applyInPandas(fit, "c binary").orderBy("c").collect()
+    return np.frombuffer(b"".join(r["c"] for r in got), dtype=np.float32).reshape(len(got), dims) if got else coarse
+
+
 def nearest(vectors: DataFrame, k: int = 5, least: float = 0.8, dims: int = 128, replicas: int = REPLICAS,
-            ratio: float = RATIO, list_size: int = LIST_SIZE) -> DataFrame:
+            ratio: float = RATIO, list_size: int = LIST_SIZE, most: int = BLOCK_ROWS) -> DataFrame:
     """``(key, other, cosine, rank)``: up to ``k`` others of the same model with a cosine of at least ``least``.
 
     ``vectors`` has ``key`` (long), ``model`` and ``vector``; equal keys are one vector. Vectors that are
@@ -207,13 +246,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.8, dims: int = 128,
     )
     n = rows.count()
     lists = int(min(MAX_LISTS, max(1, n // list_size)))
-    size = max(SAMPLE_ROWS, SAMPLE_PER_LIST * lists)
-    grain = 1 << 30
-    picked = rows if n <= size else rows.where(F.pmod(F.xxhash64("key"), F.lit(grain)) < int(size / n * grain))
-    sample = picked.select("vector").toArrow().column("vector").combine_chunks()
-    sample = sample.combine_chunks() if isinstance(sample, pa.ChunkedArray) else sample
-    _, x = usable_matrix(sample, dims)
-    sent = spark.sparkContext.broadcast(train_centroids(x.astype(np.float32), lists))
+    sent = spark.sparkContext.broadcast(fit_lists(rows, n, lists, dims))
     coded = cut(
         rows.mapInArrow(_assign(sent, dims, replicas, ratio), "key long, model string, same long, q binary, lists array<int>")
         .dropDuplicates(["key"])
@@ -233,7 +266,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.8, dims: int = 128,
         heads = first.where(F.col("r") <= k).groupBy("model", "same").agg(F.collect_list("key").alias("others"))
         extra = surplus.join(heads, ["model", "same"]).select("key", F.explode("others").alias("other"), F.lit(1.0).alias("cosine"))
     spots = posted.select("key", "q", "model", F.explode("lists").alias("list")).select("key", "q", F.xxhash64("model", "list").alias("spot"))
-    spots = split_hot(spots, "spot", "key", 16, 0.005)
+    spots = split_hot(spots, "spot", "key", most)
     found = spots.repartition("spot", "block").sortWithinPartitions("spot", "block").mapInArrow(
         _compare(dims, k, least), "key long, other long, cosine double"
     )

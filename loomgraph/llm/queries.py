@@ -18,6 +18,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_key_a"), F.col("b").alias("chunk_key_b"))
 
 
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear form of ``p6_found``: linked classes, by their smallest chunks."""
+    links, _ = neardups.links_and_members(chunk_bodies(spark, sf_dir), k=3, threshold=0.6)
+    return links.select(F.col("a").alias("chunk_key_a"), F.col("b").alias("chunk_key_b"))
+
+
+def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of that form: the class of every chunk that has a run of three words."""
+    _, members = neardups.links_and_members(chunk_bodies(spark, sf_dir), k=3, threshold=0.6)
+    return members.select(F.col("key").alias("chunk_key"), F.col("rep").alias("class_id"))
+
+
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with five words in a run and a similarity of 0.8, one row per chunk."""
     out = neardups.groups(chunk_bodies(spark, sf_dir), k=5, threshold=0.8)
@@ -137,6 +149,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_search": p3_search,
     "p6_found": p6_found,
+    "p6_links": p6_links,
+    "p6_members": p6_members,
     "p6_groups": p6_groups,
     "p8_found": p8_found,
     "p8_items": p8_items,

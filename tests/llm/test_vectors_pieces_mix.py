@@ -43,18 +43,35 @@ def test_many_copies_of_one_vector(spark):
     assert sorted(got[0].values()) == [1, 2, 3, 4, 5] and sorted(got[39].values()) == [0, 1, 2, 3, 4] and sorted(got[100].values()) == [0, 1, 2, 3, 4]
 
 
-def test_graph_search_finds_what_a_scan_finds(monkeypatch):
+def test_graph_search_finds_what_a_scan_finds():
     rng = np.random.default_rng(2)
     c = rng.normal(size=(1500, 32)).astype(np.float32)
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     x = c[:200] + 0.1 * rng.normal(size=(200, 32)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    exact = neighbours.CentroidGraph(c).nearest(x, 4)[0]
-    monkeypatch.setattr(neighbours, "SCAN_LISTS", 100)
+    exact = np.argsort(-(x @ c.T), axis=1)[:, :4]
     near = neighbours.CentroidGraph(c).nearest(x, 4)[0]
     assert (exact[:, 0] == near[:, 0]).mean() >= 0.95
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 40])
+def test_graph_of_few_centroids_is_exact(n):
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(n, 8)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    x = rng.normal(size=(20, 8)).astype(np.float32)
+    ids, cos = neighbours.CentroidGraph(c).nearest(x, 4)
+    assert (ids[:, 0] == (x @ c.T).argmax(axis=1)).mean() >= 0.95 and ids.shape[1] == min(4, n) and (np.diff(cos, axis=1) <= 0).all()
+
+
+def test_lists_above_the_bound_are_compared_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "m", [float(v) for v in rng.normal(size=16)]) for i in range(300)]
+    df = spark.createDataFrame(rows, VECTORS)
+    whole = {(r["key"], r["other"]) for r in neighbours.nearest(df, 5, 0.3, 16, list_size=300).collect()}
+    assert {(r["key"], r["other"]) for r in neighbours.nearest(df, 5, 0.3, 16, list_size=300, most=40).collect()} == whole and len(whole) > 100
+
+
 @pytest.mark.parametrize("kind", ["section", "function", None])
 def test_pieces_give_back_the_text(kind):
     rnd = random.Random(6)

@@ -73,17 +73,32 @@ def test_pairs_against_all_pairs_with_a_hot_group(spark, monkeypatch):
     got = {(r["a"], r["b"]) for r in neardups.similar_pairs(df, 3, 0.6).collect()}
     assert got <= want and len(got) >= 0.995 * len(want)
     real = neardups.split_hot
-    monkeypatch.setattr(neardups, "split_hot", lambda r, k, s, b, h: _always_split(real, r, k, s))
+    monkeypatch.setattr(neardups, "split_hot", lambda r, k, s, most: real(r, k, s, 5))
     assert {(r["a"], r["b"]) for r in neardups.similar_pairs(df, 3, 0.6).collect()} == got
     assert neardups.similar_pairs(df.limit(0), 3, 0.6).count() == 0
 
 
-def _always_split(real, rows, key, spread):
-    from pyspark.sql import functions as F
-    own = F.pmod(F.xxhash64(spread), F.lit(3)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda o: F.struct(
-        (F.least(o, own) * 3 + F.greatest(o, own)).alias("block"), F.when(o == own, 3).when(own < o, 1).otherwise(2).alias("side")))
-    return rows.withColumn("p", F.explode(pairs)).select("*", "p.block", "p.side").drop("p")
+def test_blocks_of_a_hot_key_hold_every_pair_once(spark):
+    rows = spark.createDataFrame([("h", i) for i in range(50)] + [("c", i) for i in range(4)], "key string, v int")
+    got = neardups.split_hot(rows, "key", "v", 10).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["key"], r["block"]), []).append((r["v"], r["side"]))
+    pairs = [(min(x, y), max(x, y)) for (k, _), m in groups.items() if k == "h" for i, (x, s) in enumerate(m) for y, t in m[i + 1 :] if s == 3 or s != t]
+    assert len(pairs) == len(set(pairs)) == 50 * 49 // 2 and max(len(m) for m in groups.values()) <= 30
+    assert [len(m) for (k, _), m in groups.items() if k == "c"] == [4]
+
+
+def test_links_and_members_hold_every_pair(spark):
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(_edited(rnd, base, rnd.randrange(0, 5)))) for i in range(30)] + [(100 + i, "one text in many copies") for i in range(5)]
+    df = spark.createDataFrame(rows, "key long, text string")
+    links, members = neardups.links_and_members(df, 3, 0.6)
+    of = {r["key"]: r["rep"] for r in members.collect()}
+    linked = {(r["a"], r["b"]) for r in links.collect()}
+    full = {(x, y) for x in of for y in of if x < y and (of[x] == of[y] or (min(of[x], of[y]), max(of[x], of[y])) in linked)}
+    assert full == {(r["a"], r["b"]) for r in neardups.similar_pairs(df, 3, 0.6).collect()}
 
 
 def test_trie_join_finds_all_pairs_within_the_budget():
