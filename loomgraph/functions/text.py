@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -195,7 +196,9 @@ def lexical_share(text_tokens: Column, whole: Column, words: list[str]) -> Colum
     groups = token_groups(words)
     if not groups:
         return F.lit(0.0)
-    matched = sum((F.when(F.arrays_overlap(text_tokens, _texts(g)), 1).otherwise(0) for g in groups), F.lit(0))
+    # One constant and a count over it, so that a long query doesn't make a long expression.
+    asked = F.from_json(F.lit(json.dumps(groups, ensure_ascii=False)), "array<array<string>>")
+    matched = F.size(F.filter(asked, lambda g: F.arrays_overlap(g, text_tokens)))
     bonus = F.when(whole, 0.15).otherwise(0.0)
     return F.when(matched > 0, F.least(F.lit(1.0), matched / F.lit(float(len(groups))) * 0.85 + bonus)).otherwise(0.0)
 

@@ -237,9 +237,19 @@ def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     return open_index(spark, sf_dir, lambda: (entities(spark, sf_dir), degrees(all_relations(spark, sf_dir)), entity_texts(spark, sf_dir)))
 
 
-def candidates(ents: DataFrame, include_deprecated: bool = False) -> DataFrame:
-    """Entities a search may return: all but deprecated ones, in any case of the word."""
-    return ents if include_deprecated else ents.where(F.lower("status") != "deprecated")
+def candidates(ents: DataFrame, include_deprecated: bool = False, predicate: Column | None = None) -> DataFrame:
+    """Entities a search may return: all but deprecated ones, in any case of the word, and those a predicate lets through.
+
+    A null of the predicate counts as no. Percentiles are over what is left, so a predicate changes scores.
+    """
+    rows = ents if include_deprecated else ents.where(F.lower("status") != "deprecated")
+    return rows if predicate is None else rows.where(predicate)
+
+
+def backfilled(rows: DataFrame, cached: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
+    """Rows of a store without contents, with those of a cache by key; '' where the cache has none. Equal cached keys count once."""
+    have = cached.groupBy(key).agg(F.first(content, ignorenulls=True).alias("_c"))
+    return rows.drop(content).join(have, key, "left").withColumn(content, F.coalesce("_c", F.lit(""))).drop("_c")
 
 
 def midrank(rows: DataFrame, group: str | list[str], value: str, name: str = "graph_score") -> DataFrame:

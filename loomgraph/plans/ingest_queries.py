@@ -14,6 +14,7 @@ from ..operators import scans as S
 from ..operators import search as SE
 from ..sources.tables import table
 from . import context as C
+from . import relation_queries as RQ
 from . import search_queries as SQ
 from . import sqltext as X
 
@@ -246,20 +247,96 @@ def dataflow_degree(spark: SparkSession, d: str) -> DataFrame:
 _TARGET = "(select min(path) from files where kind = 'CODE' and status = 'active')"
 
 
-def pattern_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence of a pattern in four tiers of nearness to a file, each ranked on its own."""
-    index = C.search_index(spark, d)
-    ents = C.candidates(index.heads).where("entity_type in ('File', 'Chunk')")
-    target = C.files(spark, d).where("kind = 'CODE' and status = 'active'").agg(F.min("path").alias("target"))
-    rows = ents.crossJoin(F.broadcast(target))
-    folder = I.dirname(F.col("target"))
+def _tier(path, target):
+    folder = I.dirname(target)
     area = F.when(F.instr(folder, "/") > 0, F.regexp_replace(folder, "/[^/]*$", ""))
-    tier = F.when(F.col("path") == F.col("target"), "same_file").when((F.col("path") != "") & (I.dirname(F.col("path")) == folder), "same_module").when(area.isNotNull() & F.col("path").startswith(F.concat(area, F.lit("/"))), "same_feature_area").otherwise("repo_wide")
-    rows = rows.withColumn("tier", tier).drop("target")
-    query = "retry tracker snapshot"
-    ranked = SE.scored(rows, None, query, "2025-06-30 00:00:00", tier="tier", found=index.matches(SE.asked_words(query), query))
-    best = SE.collapse_windows(ranked, rows, ["tier"])
-    return SE.diverse(best, 3, ["tier"]).select("tier", "id", F.round("score", 6).alias("score"), F.round("graph_score", 6).alias("graph_score"))
+    return F.when(path == target, "same_file").when((path != "") & (I.dirname(path) == folder), "same_module").when(area.isNotNull() & path.startswith(F.concat(area, F.lit("/"))), "same_feature_area").otherwise("repo_wide")
+
+
+def pattern_query(name: str, signals: list[str], excerpt: str) -> str:
+    """The question that a file stands for: its name, names and kinds of its first chunks, its excerpt; 1,000 characters."""
+    base = name.rsplit("/", 1)[-1]
+    base = base.rsplit(".", 1)[0] if "." in base[1:] else base
+    return " ".join(x for x in (base, *signals, excerpt) if x)[:1000]
+
+
+def _evidence(spark: SparkSession, d: str, target: str, entity: str, query: str, k: int = 3) -> DataFrame:
+    """Evidence of a pattern in four tiers of nearness to a file, each ranked on its own; the target itself is none."""
+    index = C.search_index(spark, d)
+    kinds = F.col("entity_type").isin("File", "Chunk", "ADR") & (F.col("path") != "") & (F.col("id") != entity)
+    rows = C.candidates(index.heads, predicate=kinds).withColumn("tier", _tier(F.col("path"), F.lit(target)))
+    ranked = SE.scored(rows, None, query, SQ.REFERENCE, tier="tier", found=index.matches(SE.asked_words(query), query.strip().lower()))
+    return SE.diverse(SE.collapse_windows(ranked, rows, ["tier"]), k, ["tier"])
+
+
+def _target(spark: SparkSession, d: str):
+    return C.files(spark, d).where("kind = 'CODE' and status = 'active'").orderBy("path").select("id", "path", "excerpt").first()
+
+
+def pattern_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence for a question that is given, around the first code file."""
+    t = _target(spark, d)
+    if t is None:
+        return spark.createDataFrame([], "tier string, id string, score double, graph_score double")
+    out = _evidence(spark, d, t["path"], t["id"], SQ.QUERY)
+    return out.select("tier", "id", F.round("score", 6).alias("score"), F.round("graph_score", 6).alias("graph_score"))
+
+
+def pattern_evidence_derived(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the question that the file itself stands for, with whether there is local evidence."""
+    t = _target(spark, d)
+    if t is None:
+        return spark.createDataFrame([], "tier string, n int, local boolean, fallback boolean")
+    own = C.chunks(spark, d).where((F.col("file_id") == t["id"]) & ~C.is_window(F.col("id"))).orderBy("id").limit(12).select("name", "kind").collect()
+    query = pattern_query(t["path"], [x for r in own for x in (r["name"], r["kind"])], t["excerpt"])
+    found = _evidence(spark, d, t["path"], t["id"], query).groupBy("tier").agg(_count("n"))
+    tiers = spark.createDataFrame([("same_file",), ("same_module",), ("same_feature_area",), ("repo_wide",)], "tier string")
+    rows = tiers.join(found, "tier", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    local = found.where("tier <> 'repo_wide'").agg((F.count(F.lit(1)) > 0).alias("local"))
+    return rows.crossJoin(F.broadcast(local)).select("tier", F.col("n").cast("int").alias("n"), "local", (~F.col("local") & (F.col("tier") == "repo_wide") & (F.col("n") > 0)).alias("fallback"))
+
+
+def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks after a change: those of changed and deleted files go, the changed ones are parsed anew, the rest stays.
+
+    A third of the folders stands for what a version control tells as changed, deleted files for deleted.
+    """
+    from ..sources.files import changed_files
+
+    f = C.files(spark, d)
+    some = f.where("kind = 'CODE' and status = 'active'").orderBy("path").limit(20).select("path").collect()
+    status = changed_files(spark, "".join(f" M {r['path']}\0" for r in some[:15]) + "".join(f"D  {r['path']}\0" for r in some[15:]))
+    touched = f.join(F.broadcast(status), "path").select("id", "path", "content", "change")
+    kept, _ = I.drop_files(C.chunks(spark, d), C.stored_relations(spark, d), touched.select("id"))
+    fresh = P.parse_files(touched.where("change = 'changed'"))
+    old = kept.groupBy(F.lit("kept").alias("state")).agg(_count())
+    return old.unionByName(fresh.groupBy(F.lit("parsed anew").alias("state")).agg(_count())).unionByName(status.groupBy(F.concat(F.lit("files "), "change").alias("state")).agg(_count()))
+
+
+def entities_with_projects(spark: SparkSession, d: str) -> DataFrame:
+    """All six kinds of entities, with the lines of their relations in the texts of files and chunks."""
+    from ..operators.relations import projects
+    from . import relation_queries as RQ
+    from . import sample_files as SF
+
+    labels = SF.files(spark, d).select("id", F.col("path").alias("label")).unionByName(SF.chunks(spark, d).select("id", F.col("name").alias("label")))
+    rels = RQ.built_relations(spark, d).withColumn("ord", F.xxhash64("from_id", "to_id", "relation", "note"))
+    e = C.entities(spark, d, projects=projects(SF.files(spark, d)), signals=C.relation_signals(rels, labels))
+    return e.groupBy("entity_type").agg(_count(), F.count_if(F.col("text").contains("affected_by uses_config") | F.col("text").contains("uses_config inherits:machine")).alias("n_signalled"))
+
+
+def content_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the store with the contents that a cache has of them."""
+    f = C.files(spark, d)
+    cached = f.where("kind = 'CODE'").select("id", "content")
+    return C.backfilled(f.select("id", "kind"), cached).groupBy("kind").agg(_count(), F.sum(F.length("content")).alias("chars"))
+
+
+def composed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in compatibility composition, with letters in other than their usual form among them."""
+    odd = spark.createDataFrame([("odd:1", "\uff32\uff45\uff54\uff52\uff59 \ufb01le x\u0308"), ("odd:2", "plain"), ("odd:3", None)], "id string, content string")
+    rows = C.files(spark, d).select("id", "content").unionByName(odd)
+    return rows.select("id", F.md5(F.lower(T.composed(F.col("content")))).alias("hash"))
 
 
 def pattern_tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -291,7 +368,7 @@ QUERIES = {f.__name__: f for f in (
     keyword_rule_match, detected_kinds, file_titles, keyword_counts, checksums, embedding_signatures, upserted_chunks, policy_merge, snapshot_diff,
     gained_lost, incremental_hydrate, prefix_delete, parse_eligible, excluded_paths, injection_scan, injection_categories, regex_policy, context_lines,
     external_calls, undocumented_functions, redacted_props, sanitised_evidence, orphan_rules, work_items, folder_ancestors, region_ancestors,
-    dataflow_degree, pattern_evidence, pattern_tiers, two_pass_contained,
+    dataflow_degree, pattern_evidence, pattern_evidence_derived, incremental_ingest, entities_with_projects, content_backfill, composed_texts, pattern_tiers, two_pass_contained,
 )}
 
 _DIR = "case when instr(path, '/') > 0 then regexp_replace(path, '/[^/]*$', '') else '.' end"
@@ -370,7 +447,15 @@ SQL = {
         d as (select id, id[1] kind, count(*) degree from e group by 1, 2),
         r as (select kind, degree, (rank() over (partition by kind order by degree) - 1 + count(*) over (partition by kind order by degree range between unbounded preceding and current row)) / (2.0::double * count(*) over (partition by kind)) r from d)
         select kind, degree, count(*) n, round(min(r), 6) "rank" from r group by 1, 2""",
-    "pattern_evidence": SQ.scored_sql("retry tracker snapshot", "and entity_type in ('File', 'Chunk')", _TIER) + SQ.top_sql(3, "tier") + " select tier, id, round(score, 6) score, round(g, 6) graph_score from best",
+    "pattern_evidence": SQ.scored_sql("retry tracker snapshot", f"and entity_type in ('File', 'Chunk', 'ADR') and path <> '' and id <> (select arg_min(id, path) from files where kind = 'CODE' and status = 'active')", _TIER) + SQ.top_sql(3, "tier") + " select tier, id, round(score, 6) score, round(g, 6) graph_score from best",
+    "content_backfill": f"with {X.FILES} select kind, count(*) n, sum(case when kind = 'CODE' then length(content) else 0 end) chars from files group by 1",
+    "composed_texts": f"with {X.FILES} select id, md5(lower(nfc_normalize(content))) hash from files union all select * from (values ('odd:1', md5('retry file ẍ')), ('odd:2', md5('plain')), ('odd:3', null)) v(id, hash)",
+    "import_resolution": RQ._BASE + r""", im as (select id from_id, dir, unnest(list_distinct(regexp_extract_all(content, '(?m)^(?:import|export)\b[^;\n]*?\bfrom\s+["''](\.[^"''\n]+)["'']', 1))) target from f where kind = 'CODE'),
+        p as (select from_id, target, regexp_replace(regexp_replace(case when dir = '.' then '' else dir || '/' end || target, '(^|/)\./', '\1', 'g'), '[^/]+/\.\./', '', 'g') p from im),
+        ex as (select unnest(['.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs', '.json']) e, unnest(generate_series(1, 9)) k),
+        c as (select from_id, target, p cand, 0 pos from p union all select from_id, target, p || e, k from p, ex union all select from_id, target, p || '/index' || e, 9 + k from p, ex
+              union all select from_id, target, regexp_replace(p, '\.(js|jsx|mjs|cjs)$', '') || e, 18 + k from p, ex where k <= 4 and regexp_matches(p, '\.(js|jsx|mjs|cjs)$'))
+        select from_id, target, arg_min(fs.id, pos) to_id from c join fs on fs.path = cand group by 1, 2""",
     "pattern_tiers": f"""with {X.FILES}, t as (select {_TARGET} target), f as (select path, target, {_DIR} dir, regexp_replace(target, '/[^/]*$', '') tdir from files, t)
         select case when path = target then 'same_file' when dir = tdir then 'same_module' when instr(tdir, '/') > 0 and starts_with(path, regexp_replace(tdir, '/[^/]*$', '') || '/') then 'same_feature_area' else 'repo_wide' end tier, count(*) n from f group by 1""",
 }
