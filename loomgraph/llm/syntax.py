@@ -10,6 +10,7 @@ from xml.parsers import expat
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import wider
 from .repair import Bracketed, Folds, Grammar
 
 # Symbols: i name, n number, s string, d dot, k comma, = assignment, o operator, m plus or minus, ! not,
@@ -135,7 +136,7 @@ def _js_grammar(ts: bool) -> Bracketed:
          "{": [("U", Grammar(";;X"), False), ("O", Grammar(_g(_list(prop, False))), False), ("K", stmt, True)]},
         stmt, _STATEMENT,
         [(_kw("else"), rf"{_kw('if')}|.*{_kw('else')}"), (_kw("catch"), _kw("try")), (_kw("finally"), rf"{_kw('try')}|{_kw('catch')}")],
-        _g("(?<=[PQ])[OU]|(?<=<else>)[OU]|(?<=<try>)[OU]|(?<=<finally>)[OU]|(?<=<do>)[OU]"),
+        _g("(?<=[PQ])[OU]|(?<=<else>)[OU]|(?<=<try>)[OU]|(?<=<catch>)[OU]|(?<=<finally>)[OU]|(?<=<do>)[OU]"),
     )
 
 
@@ -413,6 +414,7 @@ class Basic:
             return "P" if m.group()[0] == "(" else "O"
 
         stack: list[str] = []
+        properties = 0
         for line in lines:
             n = 1
             while n:
@@ -421,14 +423,18 @@ class Basic:
             cost += c
             if ends:
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] in ends), -1)
-                if at < 0:
+                if at < 0 and ends == {"property"} and properties:
+                    properties -= 1
+                elif at < 0:
                     cost += 1
                 else:
                     cost += len(stack) - 1 - at
                     del stack[at:]
             elif mids:
                 cost += not (stack and stack[-1] in mids)
-            elif opens and opens != "property":
+            elif opens == "property":
+                properties += 1  # with or without accessors of its own, so its end may come or not
+            elif opens:
                 stack.append(opens)
         return cost + len(stack)
 
@@ -484,6 +490,30 @@ def _lex(lexer: re.Pattern, words: dict[str, str], text: str, lower: bool) -> st
     return "".join(out)
 
 
+def _tokens(lexer: re.Pattern, words: dict[str, str], text: str, lower: bool) -> list[wider.Token]:
+    """The same with the text of every token, and whether a line ends before it."""
+    out, new = [], False
+    for m in lexer.finditer(text):
+        kind, word = m.lastgroup, m.group()
+        if kind == "skip":
+            new |= "\n" in word or "\r" in word
+            continue
+        if kind == "re":
+            first = word[0]
+            out += [(_SYMBOL.get(first, "o"), first, new), ("s", "//", False)]
+        elif kind == "i":
+            s = words.get(word.lower() if lower else word, "i")
+            out.append(("i" if s in _CONTEXTUAL and not lower and not _FOLLOWED.match(text, m.end()) else s, word, new))
+        else:
+            out.append((_SYMBOL.get(word, "o") if kind == "o" else kind, word, new))
+        new = False
+    return out
+
+
+def _joined(tokens: list[wider.Token]) -> str:
+    return "".join(s for s, _, _ in tokens)
+
+
 _CONTEXTUAL = frozenset(_kw(w) for w in _LATER[3:-1].split("|"))
 _FOLLOWED = re.compile(r"\s+[\w$\"'\[{*#@]")
 
@@ -491,18 +521,56 @@ _FOLLOWED = re.compile(r"\s+[\w$\"'\[{*#@]")
 @cache
 def _parser(lang: str):
     if lang in ("javascript", "typescript"):
-        g, words = _js_grammar(lang == "typescript"), _TS_WORDS if lang == "typescript" else _JS_WORDS
-        return lambda text: g.parse(_lex(_JS_LEXER, words, text, False))
+        ts = lang == "typescript"
+        g, words = _js_grammar(ts), _TS_WORDS if ts else _JS_WORDS
+
+        head = re.compile(_g("(?<![d])(?:<if>|<while>|<switch>)(?![(:])"))
+
+        def script(text: str) -> int:
+            plain = _lex(_JS_LEXER, words, text, False)
+            cost = g.parse(plain)
+            if cost:
+                tokens = _tokens(_JS_LEXER, words, wider.inner_texts(text, "`", "${"), False)
+                cost = min(cost, g.parse(_joined(wider.script(tokens, ts, _kw))))
+            # Conditions stand in parentheses.
+            return cost or int(head.search(plain) is not None)
+
+        return script
     if lang == "csharp":
         g = _cs_grammar()
-        return lambda text: g.parse(_lex(_CS_LEXER, _CS_WORDS, text, False))
+
+        head = re.compile(_g("(?<!d)(?:<if>|<while>|<foreach>|<lock>)(?!\\()"))
+
+        def csharp(text: str) -> int:
+            tokens = _lex(_CS_LEXER, _CS_WORDS, text, False)
+            cost = g.parse(tokens)
+            if cost:
+                plain = re.sub(r"(?m)^[ \t]*#\s*(?:region|endregion|if|else|elif|endif|pragma|nullable|define|undef|line|warning|error)\b[^\n]*", "", text)
+                wide = _tokens(_CS_LEXER, _CS_WORDS, wider.inner_texts(plain, '$"', "{"), False)
+                cost = min(cost, g.parse(_joined(wider.csharp(wide, _kw))))
+            return cost or int(head.search(tokens) is not None)
+
+        return csharp
     if lang == "sql":
         s = Sql()
-        return lambda text: s.parse(_lex(_SQL_LEXER, _SQL_WORDS, text, True))
+
+        def sql(text: str) -> int:
+            cost = s.parse(_lex(_SQL_LEXER, _SQL_WORDS, text, True))
+            if cost:
+                cost = min(cost, s.parse(_joined(wider.sql(_tokens(_SQL_LEXER, _SQL_WORDS, text, True), lambda w: _kw("SQL" + w)))))
+            return cost
+
+        return sql
     if lang == "python":
         return Python().parse
     if lang == "vbnet":
-        return Basic().parse
+        b = Basic()
+
+        def basic(text: str) -> int:
+            cost = b.parse(text)
+            return min(cost, b.parse(wider.basic(text))) if cost else 0
+
+        return basic
     return _markup
 
 
