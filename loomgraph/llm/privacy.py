@@ -44,6 +44,8 @@ SOCIAL = re.compile(r"(?<![\w-])\d{3}([- ])\d{2}\1\d{4}(?![\w-])")
 PERSONAL = re.compile(r"(?<![\w-])(?:\d{2})?(\d{2}(?:0[1-9]|1[0-2])(?:[06][1-9]|[1278]\d|[39][01]))[-+]?(\d{4})(?![\w-])")
 #: The same in one run of digits, with or without the century.
 UNPARTED = re.compile(r"(?<![\w+-])(?<!\d[./])(1[89]|20)?(\d{2}(?:0[1-9]|1[0-2])(?:[06][1-9]|[1278]\d|[39][01]))(\d{4})(?![\w-]|[./]\d)")
+#: Ten digits in a row, without which no such number is there.
+TEN = re.compile(r"\d{10}")
 INSURANCE = re.compile(r"(?<!\w)[A-CEGHJ-PQR-TW-Z][A-CEGHJ-NPQR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)")
 _CAP = r"[A-ZÅÄÖÜÉ][\w'’-]+"
 STREET = re.compile(rf"""(?<![\w-])(?:
@@ -54,6 +56,7 @@ STREET = re.compile(rf"""(?<![\w-])(?:
 #: Every span but a mail address and an unparted number has one of these within; the patterns above are tried around them only.
 ANCHOR = re.compile(r"\d(?:[-. /)(]{1,2}\d|[A-D]\b| [A-ZÅÄÖÜ])|[a-zß.] \d{1,4}(?!\d)")
 MAIL_ANCHOR = re.compile(r"@|[\[(] ?at ?[\])]| at (?=\S+ dot )", re.I)
+MAIL_WORD = re.compile(r"[ \[(]at[ \])]", re.I)
 #: Characters before and after an anchor that a span may reach.
 REACH = 90
 #: Capitalised words and initials, one after another; "Family, Given" may hold a comma.
@@ -104,14 +107,14 @@ def _windows(anchor: re.Pattern, text: str) -> list[tuple[int, int]]:
 def structured(text: str) -> list[tuple[int, int, str]]:
     """Spans ``(start, end, type)`` with a written form of their own; of overlapping ones the first found."""
     out: list[tuple[int, int, str]] = []
-    for lo, hi in _windows(MAIL_ANCHOR, text):
+    for lo, hi in _windows(MAIL_ANCHOR, text) if "@" in text or MAIL_WORD.search(text) else ():
         for m in EMAIL.finditer(text, lo, hi):
             local = _AT_RE.split(m.group(), maxsplit=1)[0].lower()
             # git@host:path names a repository
             remote = re.match(r":[\w~./-]+/", text[m.end() : m.end() + 60]) is not None
             if local not in MACHINES and not remote:
                 out.append((m.start(), m.end(), "EMAIL"))
-    for m in UNPARTED.finditer(text):
+    for m in UNPARTED.finditer(text) if TEN.search(text) else ():
         if _control(m.group(2) + m.group(3)) and _born(m.group(1), m.group(2)):
             out.append((m.start(), m.end(), "ID_NUMBER"))
     windows = _windows(ANCHOR, text)
