@@ -97,6 +97,9 @@ placed as (select ids.id, coalesce(min(root), '') root, coalesce(min(depth), -1)
            from ids left join tree using (id) group by ids.id)
 """
 
+# Everything below every node, by the fewest links: circles end because no distance is longer than there are levels.
+_BELOW = """down as (select p above, c below, 1 distance from links union select d.above, l.c, d.distance + 1 from down d join links l on l.p = d.below where d.distance < 40)"""
+
 _REFS = """
 refs as (select distinct rel_id, upper(relation) relation, 'to' endpoint, to_id key, strftime(observed_at, '%Y-%m') period
          from relations where upper(relation) in ('CALLS', 'IMPORTS') and to_id <> ''
@@ -118,10 +121,14 @@ QUERIES = {
 
 SQL = {
     "p1_found": f"with recursive {_LINKS} select id module_id, root root_id, cast(depth as int) depth from placed",
-    "p1_descendants": f"""with recursive {_LINKS},
-        up as (select p above, c below, 1 distance from links join placed on id = c and depth > 0
-               union all select l.p, u.below, u.distance + 1 from up u join links l on l.c = u.above)
-        select above module_id, below below_id, cast(distance as int) distance from up""",
+    "p1_descendants": f"""with recursive {_LINKS}, {_BELOW} select above module_id, below below_id, cast(min(distance) as int) distance from down where above <> below group by 1, 2""",
+    "p1_hierarchy": f"""with recursive {_LINKS}, {_BELOW}, pairs as (select distinct above, below from down where above <> below),
+        ways as (select id, path, root, depth from tree where id in (select id from placed where depth >= 0)),
+        best as (select id, arg_min(path, (depth, string_split(path, ' > '))) path, arg_min(root, (depth, string_split(path, ' > '))) root, min(depth) depth from ways group by id),
+        cnt as (select above id, count(*) n from pairs group by 1),
+        back as (select c id, string_agg(p, ' ' order by p) b from links l where c not in (select id from best) and (p = c or p > c and exists (select 1 from pairs where above = l.c and below = l.p)) group by 1)
+        select i.id module_id, coalesce(best.root, '') root_id, cast(coalesce(best.depth, -1) as int) depth, coalesce(best.path, '') path, coalesce(n, 0) n_descendants, coalesce(b, '') closed_by
+        from ids i left join best using (id) left join cnt using (id) left join back using (id)""",
     "p7_found": f"with {_REFS} select rel_id, endpoint from lone",
     "p7_report": f"""with {_REFS},
         t as (select relation, endpoint, period, count(*) n_refs from refs group by all),

@@ -456,6 +456,14 @@ SQL = {
         c as (select from_id, target, p cand, 0 pos from p union all select from_id, target, p || e, k from p, ex union all select from_id, target, p || '/index' || e, 9 + k from p, ex
               union all select from_id, target, regexp_replace(p, '\.(js|jsx|mjs|cjs)$', '') || e, 18 + k from p, ex where k <= 4 and regexp_matches(p, '\.(js|jsx|mjs|cjs)$'))
         select from_id, target, arg_min(fs.id, pos) to_id from c join fs on fs.path = cand group by 1, 2""",
+    "redacted_props": "select event_id, replace(props, ' ', '') outline from events",
+    "markdown_sections": RQ._BASE + r""", ln as (select id, unnest(string_split_regex(content, '\r?\n')) x, generate_subscripts(string_split_regex(content, '\r?\n'), 1) i from f where ext in ('.md', '.mdx') and content <> ''),
+        fe as (select *, regexp_matches(trim(x, chr(32) || chr(9) || chr(13) || chr(12)), '^(```|~~~)') fence from ln), st as (select *, sum(fence::int) over (partition by id order by i) n from fe),
+        ok as (select *, not fence and n % 2 = 0 free from st), hd as (select *, free and regexp_matches(x, '^#{1,3}\s+.+') h from ok), fm as (select id, min(i) first_free, min(case when h then i end) first_head from hd where free group by 1),
+        mk as (select id, i, trim(regexp_replace(regexp_extract(x, '^#{1,3}\s+(.+)$', 1), '\s*#*\s*$', '')) nm, true h from hd where h union all select id, first_free, 'preamble', false from fm where first_head is null or first_free < first_head),
+        sp as (select *, coalesce(lead(i) over (partition by id order by i), (select max(i) + 1 from ln where ln.id = mk.id)) e from mk),
+        bd as (select s.id, s.i, s.e, s.nm, s.h, regexp_replace(string_agg(l.x, chr(10) order by l.i), '\s+$', '') body, bool_or(trim(regexp_replace(l.x, '\s', '', 'g')) <> '' and (not s.h or l.i > s.i)) full_ from sp s join ln l on l.id = s.id and l.i >= s.i and l.i < s.e group by all)
+        select id file_id, nm "name", i::int start_line, greatest(i, e - 1)::int end_line, md5(body) body_hash from bd where full_""",
     "pattern_tiers": f"""with {X.FILES}, t as (select {_TARGET} target), f as (select path, target, {_DIR} dir, regexp_replace(target, '/[^/]*$', '') tdir from files, t)
         select case when path = target then 'same_file' when dir = tdir then 'same_module' when instr(tdir, '/') > 0 and starts_with(path, regexp_replace(tdir, '/[^/]*$', '') || '/') then 'same_feature_area' else 'repo_wide' end tier, count(*) n from f group by 1""",
 }

@@ -90,6 +90,11 @@ def _search_frames(spark: SparkSession, d: str):
     return C.candidates(index.heads), None, {"found": index.matches(S.asked_words(QUERY), QUERY)}
 
 
+def search_index_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of the search index by type, with their degrees; the first use builds the index."""
+    return C.search_index(spark, d).heads.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("degrees"))
+
+
 def lexical_search_topk(spark: SparkSession, d: str) -> DataFrame:
     cands, deg, found = _search_frames(spark, d)
     return S.search(cands, deg, QUERY, REFERENCE, top_k=20, **found).select("id", "entity_type", "path", F.round("score", 6).alias("score"), F.round("lexical_score", 6).alias("lexical_score"))
@@ -216,6 +221,20 @@ def _impact_sql(order: str) -> str:
         from doms order by {order} limit 20"""
 
 
+def _profile_sql(kinds: tuple[str, ...], boost: str, order: str, where: str, query: str = "") -> str:
+    """Impact by a profile whose boost depends on domains only; notes of its relations hold no word of the query."""
+    words = T.expand(T.query_tokens(query))
+    lex = X.sql_lexical('"text"', X.sql_tokens('"text"'), words, query) if query else "0.0::double"
+    return f"""with {X.ALL}, {_walk_sql(3, f"where relation in {kinds}")},
+        base as (select f.id, f.hops, coalesce(e.entity_type, 'Unknown') typ, lower(coalesce(e.kind, '')) kind, lower(coalesce(e.path, '')) path, coalesce({lex}, 0.0::double) sem,
+                 least(1.0::double, coalesce(d.degree, 0) / 4.0::double) g, coalesce(greatest(0.0::double, least(1.0::double, e.trust_level / 100.0::double)), 0.5::double) t from found f left join ents e using (id) left join degree d using (id)),
+        doms as (select *, (kind in ('procedure', 'view', 'function', 'table', 'trigger') or path like '%.sql') s, (kind in ('connection_string', 'database_target', 'app_setting') or path like '%.config') c from base),
+        res as (select *, not s and not c and typ in ('File', 'Chunk', 'Module') k from doms)
+        select id, hops, concat_ws(',', case when s then 'sql' end, case when c then 'config' end, case when k then 'code' end) domains,
+               round(round(0.55::double / (1 + hops) + g * 0.2::double + t * 0.15::double + sem * 0.1::double, 4) + round({boost}, 4), 4) impact_score, round(g, 4) graph_score, round(t, 4) trust_score
+        from res where {where} order by {order} limit 20"""
+
+
 def scored_sql(query: str = QUERY, where: str = "", tier: str = "", vectors: str = "") -> str:
     """The scored candidates as SQL: ``tier`` is an expression that splits the percentiles, ``vectors`` a relation
     ``(id, vec)`` whose row of the smallest id is the query's vector."""
@@ -257,7 +276,7 @@ QUERIES = {
     "entity_union": entity_union, "entity_candidates": entity_candidates, "part_of_edges": part_of_edges, "relation_union": relation_union,
     "dangling_edge_filter": dangling_edge_filter, "degree": degree, "top_connected": top_connected, "rule_links": rule_links,
     "relation_signals": relation_signals, "midrank_by_type": midrank_by_type, "catalog": catalog, "node_edge_counts": node_edge_counts,
-    "rules_by_scope": rules_by_scope, "adr_shadowing": adr_shadowing, "lexical_search_topk": lexical_search_topk, "search_scores": search_scores,
+    "rules_by_scope": rules_by_scope, "adr_shadowing": adr_shadowing, "search_index_heads": search_index_heads, "lexical_search_topk": lexical_search_topk, "search_scores": search_scores,
     "search_explain": search_explain, "cosine_topk": cosine_topk, "hybrid_search_topk": hybrid_search_topk, "recency_scores": recency_scores,
     "text_tokens": text_tokens, "structural_boosts": structural_boosts, "data_access_boosts": data_access_boosts,
     "related_depth1": _related(1), "related_depth2": _related(2), "related_depth3": _related(3), "related_edges": related_edges,
@@ -297,6 +316,7 @@ SQL = {
     "search_explain": scored_sql() + top_sql(3) + """, l as (select to_id id, from_id r, ord from stored where relation = 'CONSTRAINS' union all select from_id, to_id, ord from stored where relation = 'IMPLEMENTS'),
         m as (select id file_id, string_agg(r, ',' order by ord, r) rules from l group by 1)
         select b.id, round(score, 6) score, round(g, 6) graph_score, coalesce(rules, '') rules from best b left join pieces p on p.id = b.id left join m on m.file_id = coalesce(p.file_id, b.id)""",
+    "search_index_heads": f"with {X.ALL} select entity_type, count(*) n, sum(coalesce(degree, 0)) degrees from ents left join degree using (id) group by 1",
     "cosine_topk": """with q as (select embedding asked from embeddings where vec_id = 0),
         c as (select vec_id, list_dot_product(embedding::double[], asked::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(asked::double[], asked::double[]))) x from embeddings, q)
         select vec_id, round(x, 6) cosine from c order by 2 desc, 1 limit 10""",
@@ -308,6 +328,8 @@ SQL = {
         when entity_type = 'File' then case when lower(path) like '%.sql' then 0.04 when lower(path) like '%.config' then 0.14 when lower(path) like '%.resx' or lower(path) like '%.settings' then 0.05 else 0 end else 0 end::double, 6) boost from ents) select * from b where boost <> 0""",
     **{f"related_depth{n}": f"with {X.ALL}, {_walk_sql(n)} select id, hops from found" for n in (1, 2, 3)},
     "related_edges": f"with {X.ALL}, {_walk_sql(2)}, inn as (select id from h0 union all select id from h1) select distinct from_id, to_id, relation, note from rels where from_id in (select id from inn) or to_id in (select id from inn)",
+    "impact_config": _profile_sql(("USES_CONFIG_KEY", "USES_RESOURCE_KEY", "USES_SETTING_KEY", "USES_CONFIG", "TRANSFORMS_CONFIG", "PART_OF"), "case when c then 0.08::double else 0 end + 0.04::double", "impact_score desc, hops, id", "c or k"),
+    "impact_sql_only": _profile_sql(("CALLS_SQL", "PART_OF"), "case when s then 0.14::double else 0 end", "sem desc, impact_score desc, hops, id", "typ in ('File', 'Chunk')", "retry tracker"),
     "impact_topk": _impact_sql("impact_score desc, hops, id"),
     "impact_shortest_path": _impact_sql("hops, impact_score desc, id"),
     "impact_graph_score": _impact_sql("graph_score desc, impact_score desc, hops, id"),
