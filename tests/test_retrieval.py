@@ -115,7 +115,7 @@ def test_traversal_and_containment(spark):
     rels = spark.createDataFrame([("c1", "c2", "CALLS"), ("c3", "c1", "CALLS"), ("f", "c1", "DEFINES"), ("c2", "g", "IMPORTS"), ("x", "c1", "OTHER")], "from_id string, to_id string, relation string")
     heads = spark.createDataFrame([("c1", "Chunk", "p/a.py", "one"), ("c2", "Chunk", "p/b.py", "two"), ("c3", "Chunk", "q/c.py", "startAll"), ("f", "File", "p/a.py", ""), ("g", "File", "vendor/g.py", "")], "id string, entity_type string, path string, name string")
     got = {(r["id"], r["role"], r["distance"]) for r in TP.traverse(rels, spark.createDataFrame([("c1",)], "id string"), heads).collect()}
-    assert {("c2", "callee", 1), ("c3", "caller", 1), ("f", "definition_owner", 1)} <= got and not any(i == "g" for i, *_ in got)
+    assert {("c2", "callee", 1), ("c3", "lifecycle_owner", 1), ("f", "definition_owner", 1)} <= got and not any(i == "g" for i, *_ in got)
     points = spark.createDataFrame([("file", "p/a.py", "owner_path", "c1"), ("directory", "p", "module_path", "c1")], "scope string, value string, kind string, cause string")
     rows = spark.createDataFrame([("1", "p/a.py"), ("2", "p/x/b.py"), ("3", "q/c.py"), ("4", "pp/a.py")], "id string, path string")
     assert {(r["id"], r["scope"]) for r in TP.contained(rows, points).collect()} == {("1", "file"), ("2", "directory")}
