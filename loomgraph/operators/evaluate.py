@@ -12,24 +12,37 @@ from ..functions import text as T
 from .index import SearchIndex
 from .search import MIN_LEXICAL, Weights, diverse, test_evidence
 
-QUERY = ("query_id string, phrase string, inner array<string>, words array<string>, n_groups int, use array<string>, compact string, languages array<string>, "
+QUERY = ("query_id string, phrase string, n_groups int, use array<string>, compact string, languages array<string>, "
          + ", ".join(f"want_{k} boolean" for k in ("sql", "config", "resource", "settings", "transform", "machine", "impact", "target")))
 
 
-def prepare(spark: SparkSession, queries: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """``(query_id, word, group)`` and one row per query with what its scores need; queries are a given, short list."""
-    words, rows = [], []
+def prepare(spark: SparkSession, queries: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, int]:
+    """The words of the queries with their bits, one row per query with what its scores need, and how many masks there are.
+
+    Queries are a given, short list. Of a word, ``g0, g1, ...`` hold the bit of its alias group and ``i0, i1, ...``
+    that of its place among the inner words of the phrase; 63 bits fit a mask.
+    """
+    made, most = [], 1
     for qid, query in queries:
         phrase = query.strip().lower()
         mine = T.expand(T.query_tokens(query))
-        groups = T.token_groups(mine)
-        words += [(qid, w, i) for i, g in enumerate(groups) for w in g]
         # A text that holds the phrase has all its words as tokens, but for the first and last, which may go on there.
         inner = T.query_tokens(" ".join(re.split(r"\s+", phrase)[1:-1]))
+        made.append((qid, phrase, mine, T.token_groups(mine), inner))
+        most = max(most, len(made[-1][3]), len(inner))
+    n = (most + 62) // 63
+    bits = lambda at: [1 << at % 63 if at is not None and at // 63 == i else 0 for i in range(n)]
+    words, rows = [], []
+    for qid, phrase, mine, groups, inner in made:
+        of = {w: (g, inner.index(w) if w in inner else None) for g, ws in enumerate(groups) for w in ws}
+        # An inner word that is in no group of its own can't be: all words of the phrase are words of the query.
+        words += [(qid, w, *bits(g), *bits(i)) for w, (g, i) in of.items()]
+        whole = [sum(1 << i % 63 for i in range(len(inner)) if i // 63 == m) for m in range(n)]
         want = T.intents(mine, phrase)
-        rows.append((qid, phrase, inner, mine, len(groups), T.structure_words(mine), re.sub(r"[\W_]+", "", phrase), [w for g in T.LANGUAGES if set(g) & set(mine) for w in g],
-                     *[bool(want[k]) for k in ("sql", "config", "resource", "settings", "transform", "machine", "impact", "target")]))
-    return spark.createDataFrame(words, "query_id string, token string, grp int").distinct(), spark.createDataFrame(rows, QUERY)
+        rows.append((qid, phrase, len(groups), T.structure_words(mine), re.sub(r"[\W_]+", "", phrase), [w for g in T.LANGUAGES if set(g) & set(mine) for w in g],
+                     *[bool(want[k]) for k in ("sql", "config", "resource", "settings", "transform", "machine", "impact", "target")], *whole))
+    masks = ", ".join(f"{k}{i} long" for k in ("g", "i") for i in range(n))
+    return spark.createDataFrame(words, f"query_id string, token string, {masks}"), spark.createDataFrame(rows, QUERY + "".join(f", all{i} long" for i in range(n))), n
 
 
 def scored_many(index: SearchIndex, cands: DataFrame, queries: list[tuple[str, str]], reference: str, weights: Weights = Weights()) -> DataFrame:
@@ -40,17 +53,23 @@ def scored_many(index: SearchIndex, cands: DataFrame, queries: list[tuple[str, s
     words are.
     """
     spark = cands.sparkSession
-    words, asked = prepare(spark, queries)
-    hits = index.postings.join(F.broadcast(words), "token").groupBy("query_id", "id").agg(F.count_distinct("grp").alias("n"), F.collect_set("token").alias("found"))
-    pairs = hits.join(F.broadcast(asked.select("query_id", "phrase", "inner", "n_groups")), "query_id")
-    may = pairs.where((F.size(F.array_except("inner", "found")) == 0) & (F.size("inner") > 0) | (F.size("inner") == 0)).select("query_id", "id", "phrase")
+    words, asked, n_masks = prepare(spark, queries)
+    # Groups and inner words are bits, so pairs are counted by a plain aggregate that combines before the shuffle.
+    masks = [f"{kind}{i}" for kind in ("g", "i") for i in range(n_masks)]
+    hits = index.postings.join(F.broadcast(words), "token").groupBy("query_id", "id").agg(*[F.bit_or(m).alias(m) for m in masks])
+    pairs = hits.join(F.broadcast(asked.select("query_id", "phrase", "n_groups", *[F.col(f"all{i}") for i in range(n_masks)])), "query_id")
+    n = sum((F.bit_count(f"g{i}") for i in range(n_masks)), F.lit(0))
+    inner = F.lit(True)
+    for i in range(n_masks):
+        inner = inner & (F.col(f"i{i}") == F.col(f"all{i}"))
+    may = pairs.where(inner).select("query_id", "id", "phrase")
     whole = may.join(index.texts, "id").where(F.col("low").contains(F.col("phrase"))).select("query_id", "id").distinct().withColumn("_w", F.lit(0.15))
-    lex = F.least(F.lit(1.0), F.col("n") / F.col("n_groups") * 0.85 + F.coalesce("_w", F.lit(0.0)))
+    lex = F.least(F.lit(1.0), n / F.col("n_groups") * 0.85 + F.coalesce("_w", F.lit(0.0)))
     pairs = pairs.join(whole, ["query_id", "id"], "left").select("query_id", "id", lex.alias("lexical_score")).where(F.col("lexical_score") >= MIN_LEXICAL)
     counts = cands.groupBy("entity_type", "degree").agg(F.count(F.lit(1)).alias("_c"))
     upto = F.sum("_c").over(W.partitionBy("entity_type").orderBy("degree"))
     ranks = counts.select("entity_type", "degree", ((upto - F.col("_c") + upto) / (2 * F.sum("_c").over(W.partitionBy("entity_type")))).alias("graph_score"))
-    rows = pairs.join(cands, "id").join(ranks, ["entity_type", "degree"]).join(F.broadcast(asked.drop("phrase", "inner", "n_groups", "words")), "query_id")
+    rows = pairs.join(cands, "id").join(ranks, ["entity_type", "degree"]).join(F.broadcast(asked.drop("phrase", "n_groups", *[f"all{i}" for i in range(n_masks)])), "query_id")
     names = tuple(F.col(c) for c in ("path_tokens", "base_tokens", "label_tokens", "kind_tokens"))
     rows = rows.withColumn("_s", T.structure(names, F.col("path"), F.col("label"), F.col("use"), F.col("compact"), F.col("languages")))
     sem = F.col("lexical_score")

@@ -79,18 +79,22 @@ def _signs(text: Column, low: Column) -> list[tuple[str, str, float, Column]]:
     return out
 
 
+def injection_total(text: Column) -> Column:
+    """Sum of the weights of all matches; 0 for null. The lower-case form is bound, so that it is made once."""
+    total = lambda low: sum((n * w for _, _, w, n in _signs(text, low)), F.lit(0.0))
+    return F.coalesce(F.element_at(F.transform(F.array(F.lower(text)), total), 1), F.lit(0.0))
+
+
 def injection_score(text: Column) -> Column:
     """Sum of the weights of all matches, at most 1; 0 for null."""
-    low = F.lower(text)
-    total = sum((n * w for _, _, w, n in _signs(text, low)), F.lit(0.0))
-    return F.when(text.isNull(), 0.0).otherwise(F.least(F.lit(1.0), total))
+    return F.least(F.lit(1.0), injection_total(text))
 
 
 def injection_matches(rows: DataFrame, text: str) -> DataFrame:
     """Adds ``pattern``, ``category`` and ``n`` for every sign that occurs: one row each."""
-    found = F.array(*[
-        F.struct(F.lit(name).alias("pattern"), F.lit(cat).alias("category"), n.alias("n")) for name, cat, _, n in _signs(F.col(text), F.lower(text))
-    ])
+    found = F.element_at(F.transform(F.array(F.lower(text)), lambda low: F.array(*[
+        F.struct(F.lit(name).alias("pattern"), F.lit(cat).alias("category"), n.alias("n")) for name, cat, _, n in _signs(F.col(text), low)
+    ])), 1)
     return rows.withColumn("_m", F.explode(F.filter(found, lambda m: m["n"] > 0))).select(*rows.columns, "_m.*")
 
 

@@ -15,6 +15,7 @@ from ..operators import search as SE
 from ..sources.tables import table
 from . import context as C
 from . import relation_queries as RQ
+from . import sample_files as SF
 from . import search_queries as SQ
 from . import sqltext as X
 
@@ -24,8 +25,6 @@ def _count(name: str = "n"):
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    from . import sample_files as SF
-
     c = P.parse_files(SF.files(spark, d).repartition(spark.sparkContext.defaultParallelism, "id"))
     return c.withColumn("id", F.concat(F.lit("chunk:"), "path", F.lit(":"), "name", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
 
@@ -66,8 +65,6 @@ def sql_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_resolution(spark: SparkSession, d: str) -> DataFrame:
-    from . import sample_files as SF
-
     f = SF.files(spark, d)
     imp = f.where("kind = 'CODE'").select(F.col("id").alias("from_id"), "path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"""(?m)^(?:import|export)\b[^;\n]*?\bfrom\s+["'](\.[^"'\n]+)["']"""), F.lit(1)))).alias("target"))
     return I.resolve_imports(imp, f)
@@ -90,7 +87,7 @@ def module_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_rule_match(spark: SparkSession, d: str) -> DataFrame:
-    return I.keyword_rules(C.files(spark, d), C.rules(spark, d))
+    return I.keyword_rules(C.files(spark, d, wide=True), C.rules(spark, d))
 
 
 def detected_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -171,12 +168,16 @@ def excluded_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def injection_scan(spark: SparkSession, d: str) -> DataFrame:
-    e = C.entities(spark, d).select("id", S.injection_score(F.col("text")).alias("score")).where("score > 0")
+    """Entities with signs of injected instructions; texts are scanned in parts where they are read."""
+    texts = C.entity_texts(spark, d).unionByName(SF.samples(spark).select("id", F.col("content").alias("text")))
+    parts = texts.select("id", S.injection_total(F.col("text")).alias("s")).where("s > 0")
+    e = parts.groupBy("id").agg(F.least(F.lit(1.0), F.sum("s")).alias("score"))
     return e.select("id", F.round("score", 4).alias("score"), (F.col("score") >= 0.3).alias("flagged"))
 
 
 def injection_categories(spark: SparkSession, d: str) -> DataFrame:
-    return S.injection_matches(C.files(spark, d).select("id", "content"), "content").groupBy("pattern", "category").agg(F.sum("n").alias("n"))
+    """Signs by name in all files, those that quote some among them."""
+    return S.injection_matches(SF.files(spark, d).select("id", "content"), "content").groupBy("pattern", "category").agg(F.sum("n").alias("n"))
 
 
 def regex_policy(spark: SparkSession, d: str) -> DataFrame:
@@ -317,8 +318,6 @@ def entities_with_projects(spark: SparkSession, d: str) -> DataFrame:
     """All six kinds of entities, with the lines of their relations in the texts of files and chunks."""
     from ..operators.relations import projects
     from . import relation_queries as RQ
-    from . import sample_files as SF
-
     labels = SF.files(spark, d).select("id", F.col("path").alias("label")).unionByName(SF.chunks(spark, d).select("id", F.col("name").alias("label")))
     rels = RQ.built_relations(spark, d).withColumn("ord", F.xxhash64("from_id", "to_id", "relation", "note"))
     e = C.entities(spark, d, projects=projects(SF.files(spark, d)), signals=C.relation_signals(rels, labels))
@@ -425,8 +424,8 @@ SQL = {
     "parse_eligible": f"with {X.FILES}, {X.CHUNKS} select id from files where kind = 'CODE' and id not in (select file_id from pieces)",
     "excluded_paths": f"""with {X.FILES} select list_has_any(string_split(path, '/'), ['node_modules', 'bin', 'obj', 'dist', 'build', 'coverage']) skipped,
         regexp_matches(path, '(^|/)(tests?|__tests__)/') or regexp_matches(path, '\\.(test|spec)\\.[^.]+$') is_test, count(*) n from files group by 1, 2""",
-    "injection_scan": f"with {X.ALL}, s as (select id, least(1.0::double, {_INJECTED}) score from ents) select id, round(score, 4) score, score >= 0.3 flagged from s where score > 0",
-    "injection_categories": f"""with {X.FILES}, m as ({" union all ".join(f"select '{n}' pattern, '{c}' category, len(regexp_extract_all(content, '{_re(p)}')) n from files" for n, c, _, p in S.INJECTIONS)})
+    "injection_scan": f"with {X.ALL}, s as (select id, least(1.0::double, {_INJECTED}) score from (select id, "text" from ents union all select id, content from {SF.SQL_SAMPLES})) select id, round(score, 4) score, score >= 0.3 flagged from s where score > 0",
+    "injection_categories": f"""with {X.FILES}, {SF.SQL_FILES}, m as ({" union all ".join(f"select '{n}' pattern, '{c}' category, len(regexp_extract_all(content, '{_re(p)}')) n from fs" for n, c, _, p in S.INJECTIONS)})
         select pattern, category, sum(n) n from m where n > 0 group by 1, 2""",
     "regex_policy": f"with {X.FILES}, l as {_LINES}, r as (select path, line_no, row_number() over (partition by path order by line_no) k from l where regexp_matches(line, '\\bTODO\\b')) select path, line_no from r where k <= 20",
     "context_lines": f"""with {X.FILES}, l as {_LINES}, w as (select *, string_agg(line, chr(10)) over (partition by path order by line_no rows between 3 preceding and 3 following) c from l)
