@@ -424,7 +424,7 @@ SQL = {
     "parse_eligible": f"with {X.FILES}, {X.CHUNKS} select id from files where kind = 'CODE' and id not in (select file_id from pieces)",
     "excluded_paths": f"""with {X.FILES} select list_has_any(string_split(path, '/'), ['node_modules', 'bin', 'obj', 'dist', 'build', 'coverage']) skipped,
         regexp_matches(path, '(^|/)(tests?|__tests__)/') or regexp_matches(path, '\\.(test|spec)\\.[^.]+$') is_test, count(*) n from files group by 1, 2""",
-    "injection_scan": f"with {X.ALL}, s as (select id, least(1.0::double, {_INJECTED}) score from (select id, "text" from ents union all select id, content from {SF.SQL_SAMPLES})) select id, round(score, 4) score, score >= 0.3 flagged from s where score > 0",
+    "injection_scan": f"with {X.ALL}, s as (select id, least(1.0::double, {_INJECTED}) score from (select id, \"text\" from ents union all select id, content from {SF.SQL_SAMPLES})) select id, round(score, 4) score, score >= 0.3 flagged from s where score > 0",
     "injection_categories": f"""with {X.FILES}, {SF.SQL_FILES}, m as ({" union all ".join(f"select '{n}' pattern, '{c}' category, len(regexp_extract_all(content, '{_re(p)}')) n from fs" for n, c, _, p in S.INJECTIONS)})
         select pattern, category, sum(n) n from m where n > 0 group by 1, 2""",
     "regex_policy": f"with {X.FILES}, l as {_LINES}, r as (select path, line_no, row_number() over (partition by path order by line_no) k from l where regexp_matches(line, '\\bTODO\\b')) select path, line_no from r where k <= 20",
