@@ -156,6 +156,31 @@ QUERIES = {
     "p8_items": p8_items,
 }
 
+_LEAKED = r"""d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where length(text) > 0),
+    i as (select distinct item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') w from eval_items where length(passage) > 0),
+    ig as (select item_id, k, array_to_string(w[k:k + 11], ' ') g from (select item_id, w, unnest(generate_series(1, len(w) - 11)) k from i where len(w) >= 12)),
+    dg as (select doc_id, k, array_to_string(w[k:k + 11], ' ') g from (select doc_id, w, unnest(generate_series(1, len(w) - 11)) k from d where len(w) >= 12)),
+    hit as (select doc_id, item_id, d.k - i.k diagonal, d.k from dg d join ig i using (g)),
+    isle as (select *, k - row_number() over (partition by doc_id, item_id, diagonal order by k) island from hit),
+    span as (select doc_id, item_id, count(*) + 11 n from isle group by doc_id, item_id, diagonal, island)"""
+_RUNS = r"""c as (select chunk_key, any_value(body) body from chunks where length(body) > 0 and chunk_key is not null group by 1),
+    w as (select chunk_key, regexp_extract_all(lower(regexp_replace(body, '[^A-Za-z0-9_]+', ' ', 'g')), '[a-z0-9_]+') w from c),
+    g as (select distinct chunk_key, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] g from (select chunk_key, w, unnest(generate_series(1, len(w) - 2)) k from w where len(w) >= 3)),
+    n as (select chunk_key, count(*) n from g group by 1),
+    pairs as (select a.chunk_key a, b.chunk_key b, count(*) s from g a join g b on a.g = b.g and a.chunk_key < b.chunk_key group by 1, 2),
+    near as (select a, b from pairs join n x on x.chunk_key = a join n y on y.chunk_key = b where s * 10 >= (x.n + y.n - s) * 6),
+    classes as (select chunk_key, min(chunk_key) over (partition by runs) rep from (select chunk_key, md5(string_agg(g, chr(10) order by g)) runs from g group by 1))"""
+_NEAREST = """v as (select distinct on (vec_id) vec_id, coalesce(model, chr(0)) model, list_transform(vector, lambda x: x::double) x from vectors
+        where len(vector) = 128 and not list_bool_or(list_transform(vector, lambda x: x is null or isnan(x) or isinf(x))) and list_bool_or(list_transform(vector, lambda x: x <> 0))),
+    u as (select *, sqrt(list_dot_product(x, x)) n from v), cosines as (select a.vec_id a, b.vec_id b, list_dot_product(a.x, b.x) / (a.n * b.n) c from u a join u b on a.model = b.model and a.vec_id <> b.vec_id),
+    ranked as (select *, row_number() over (partition by a order by c desc, b) k from cosines where c >= 0.8)"""
+
 SQL: dict[str, str] = {
+    "p3_found": f"with {_NEAREST} select distinct least(a, b) vec_id_a, greatest(a, b) vec_id_b from ranked where k <= 5",
+    "p6_found": f"with {_RUNS} select a chunk_key_a, b chunk_key_b from near",
+    "p6_links": f"with {_RUNS}, r as (select distinct x.rep p, y.rep q from near join classes x on x.chunk_key = a join classes y on y.chunk_key = b where x.rep <> y.rep) select distinct least(p, q) chunk_key_a, greatest(p, q) chunk_key_b from r",
+    "p6_members": f"with {_RUNS} select chunk_key, rep class_id from classes",
+    "p8_found": f"with {_LEAKED} select distinct doc_id, item_id from hit",
+    "p8_items": f"with {_LEAKED} select item_id, count(distinct doc_id) n_docs, max(n) longest from span group by 1",
     "p4_found": "select distinct chunk_key from chunks where length(body) > 4000",
 }
