@@ -97,12 +97,14 @@ SORTS = {
 
 def impact(relations: DataFrame, seeds: DataFrame, ents: DataFrame, degree: DataFrame, *, depth: int = 2, profile: str = "all", query: str = "",
            sort_by: str = "impact_score", top_k: int = 8, result_domains: list[str] | None = None, entity_types: list[str] | None = None,
-           must_include: list[str] | None = None, must_exclude: list[str] | None = None, kinds: list[str] | None = None, preset: str = "full") -> DataFrame:
+           must_include: list[str] | None = None, must_exclude: list[str] | None = None, kinds: list[str] | None = None, preset: str = "full", catalog: DataFrame | None = None) -> DataFrame:
     """What a change of the seeds reaches, scored by hops, degree, trust, query and profile.
 
     Degrees are those over all relations, not only the followed ones. Nodes without an entity keep their
     place with type Unknown and trust 0.5. Scores are rounded to 4 places before they are added up. ``kinds``
     are the relations to follow instead of those of the profile; a ``preset`` without scores orders by hops.
+    Nodes that no search returns, such as files that a decision record stands for, take type, title and path
+    from ``catalog(id, type, label, path)``.
     """
     if preset != "full" and sort_by != "shortest_path":
         # Without scores in the response its comparator reads zeros, so the order falls back to hops and discovery.
@@ -115,7 +117,7 @@ def impact(relations: DataFrame, seeds: DataFrame, ents: DataFrame, degree: Data
     semantic = T.lexical_score(F.col("text"), T.tokens(F.col("text")), words, phrase) if query else F.lit(0.0)
     note = F.array_join(F.filter(F.transform("steps", lambda s: F.trim(s["note"])), lambda n: n != ""), "\n")
     note_score = F.when(note != "", F.round(T.lexical_score(note, T.tokens(note), words, phrase), 4)).otherwise(0.0) if query else F.lit(0.0)
-    rows = _impact_rows(found, ents, degree, semantic, note_score)
+    rows = _impact_rows(found, ents, degree, semantic, note_score, catalog)
     rows = rows.withColumn("domains", domains(F.col("entity_type"), F.col("kind"), F.col("path")))
     rows = rows.withColumn("profile_score", F.round(profile_boost(profile, F.col("domains"), F.col("relations")), 4))
     base = F.round(F.lit(0.55) / (F.lit(1.0) + F.col("hops")) + F.col("graph_score") * 0.2 + F.col("trust_score") * 0.15 + F.col("semantic_score") * 0.1, 4)
@@ -134,15 +136,20 @@ def impact(relations: DataFrame, seeds: DataFrame, ents: DataFrame, degree: Data
     return rows.orderBy(*order, "id").limit(top_k)
 
 
-def _impact_rows(found: DataFrame, ents: DataFrame, degree: DataFrame, semantic: Column, note_score: Column) -> DataFrame:
+def _impact_rows(found: DataFrame, ents: DataFrame, degree: DataFrame, semantic: Column, note_score: Column, catalog: DataFrame | None = None) -> DataFrame:
     """Reached nodes with their entity, degree and plain scores."""
-    reached = found.withColumnRenamed("path", "nodes")
-    return reached.join(ents, "id", "left").join(degree, "id", "left").select(
-        "seed", "id", F.coalesce("entity_type", F.lit("Unknown")).alias("entity_type"), F.coalesce("kind", F.lit("")).alias("kind"),
-        F.coalesce("label", "id").alias("title"), F.coalesce("path", F.lit("")).alias("path"), "hops", "nodes", "steps",
+    reached = found.withColumnRenamed("path", "nodes").join(ents, "id", "left").join(degree, "id", "left")
+    if catalog is None:
+        reached = reached.withColumns({"_type": F.lit(None).cast("string"), "_label": F.lit(None).cast("string"), "_path": F.lit(None).cast("string")})
+    else:
+        reached = reached.join(catalog.select("id", F.col("type").alias("_type"), F.col("label").alias("_label"), F.col("path").alias("_path")), "id", "left")
+    trust = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("trust_level") / 100))
+    return reached.select(
+        "seed", "id", F.coalesce("entity_type", "_type", F.lit("Unknown")).alias("entity_type"), F.coalesce("kind", F.lit("")).alias("kind"),
+        F.coalesce("label", "_label", "id").alias("title"), F.coalesce("path", "_path", F.lit("")).alias("path"), "hops", "nodes", "steps",
         F.transform("steps", lambda s: s["relation"]).alias("relations"), F.coalesce(semantic, F.lit(0.0)).alias("semantic_score"),
         F.least(F.lit(1.0), F.coalesce("degree", F.lit(0)) / 4).alias("graph_score"),
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("trust_level") / 100)), F.lit(0.5)).alias("trust_score"), note_score.alias("note_score"),
+        F.when(F.col("trust_level").isNotNull(), trust).otherwise(0.5).alias("trust_score"), note_score.alias("note_score"),
     )
 
 

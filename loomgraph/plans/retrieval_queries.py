@@ -28,8 +28,9 @@ def seed_by_search(spark: SparkSession, d: str) -> DataFrame:
 def _impact(spark: SparkSession, d: str, **options) -> DataFrame:
     rels, ents = C.all_relations(spark, d), C.entities(spark, d)
     seed = SQ._seed(spark, d)
-    out = G.impact(rels, seed, ents, C.degrees(rels), depth=3, top_k=12, **options)
-    return P.impact_response(out, C.catalog(spark, d), preset=options.get("preset", "full"))
+    nodes = C.catalog(spark, d)
+    out = G.impact(rels, seed, ents, C.degrees(rels), depth=3, top_k=12, catalog=nodes, **options)
+    return P.impact_response(out, nodes, preset=options.get("preset", "full"))
 
 
 def impact_paths(spark: SparkSession, d: str) -> DataFrame:

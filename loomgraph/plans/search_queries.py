@@ -192,7 +192,7 @@ def related_edges(spark: SparkSession, d: str) -> DataFrame:
 def _impact(profile: str, sort_by: str, **options):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rels, ents = C.all_relations(spark, d), C.entities(spark, d)
-        out = G.impact(rels, _seed(spark, d), ents, C.degrees(rels), depth=3, profile=profile, sort_by=sort_by, top_k=20, **options)
+        out = G.impact(rels, _seed(spark, d), ents, C.degrees(rels), depth=3, profile=profile, sort_by=sort_by, top_k=20, catalog=C.catalog(spark, d), **options)
         return out.select("id", "hops", F.array_join("domains", ",").alias("domains"), F.round("impact_score", 4).alias("impact_score"), F.round("graph_score", 4).alias("graph_score"), F.round("trust_score", 4).alias("trust_score"))
 
     return run
@@ -212,8 +212,8 @@ def _impact_sql(order: str) -> str:
     kinds = "where relation in ('CALLS', 'CALLS_SQL', 'IMPORTS', 'USES_CONFIG_KEY', 'USES_RESOURCE_KEY', 'USES_SETTING_KEY', 'USES_CONFIG', 'TRANSFORMS_CONFIG', 'PART_OF')"
     return f"""with {X.ALL}, {_walk_sql(3, kinds)},
         scored as (select f.id, f.hops, coalesce(e.entity_type, 'Unknown') typ, lower(coalesce(e.kind, '')) kind, lower(coalesce(e.path, '')) path,
-                   least(1.0::double, coalesce(d.degree, 0) / 4.0::double) g, coalesce(greatest(0.0::double, least(1.0::double, e.trust_level / 100.0::double)), 0.5::double) t
-                   from found f left join ents e using (id) left join degree d using (id)),
+                   least(1.0::double, coalesce(d.degree, 0) / 4.0::double) g, case when e.trust_level is not null then greatest(0.0::double, least(1.0::double, e.trust_level / 100.0::double)) else 0.5::double end t
+                   from found f left join (select id, entity_type, kind, path, trust_level, "text" from ents union all select id, 'File', '', path, null, '' from files where id not in (select id from ents)) e using (id) left join degree d using (id)),
         doms as (select *, (kind in ('procedure', 'view', 'function', 'table', 'trigger') or path like '%.sql') s,
                  (kind in ('connection_string', 'database_target', 'app_setting') or path like '%.config') c from scored)
         select id, hops, concat_ws(',', case when s then 'sql' end, case when c then 'config' end, case when not s and not c and typ in ('File', 'Chunk', 'Module') then 'code' end) domains,
@@ -227,7 +227,7 @@ def _profile_sql(kinds: tuple[str, ...], boost: str, order: str, where: str, que
     lex = X.sql_lexical('"text"', X.sql_tokens('"text"'), words, query) if query else "0.0::double"
     return f"""with {X.ALL}, {_walk_sql(3, f"where relation in {kinds}")},
         base as (select f.id, f.hops, coalesce(e.entity_type, 'Unknown') typ, lower(coalesce(e.kind, '')) kind, lower(coalesce(e.path, '')) path, coalesce({lex}, 0.0::double) sem,
-                 least(1.0::double, coalesce(d.degree, 0) / 4.0::double) g, coalesce(greatest(0.0::double, least(1.0::double, e.trust_level / 100.0::double)), 0.5::double) t from found f left join ents e using (id) left join degree d using (id)),
+                 least(1.0::double, coalesce(d.degree, 0) / 4.0::double) g, case when e.trust_level is not null then greatest(0.0::double, least(1.0::double, e.trust_level / 100.0::double)) else 0.5::double end t from found f left join (select id, entity_type, kind, path, trust_level, "text" from ents union all select id, 'File', '', path, null, '' from files where id not in (select id from ents)) e using (id) left join degree d using (id)),
         doms as (select *, (kind in ('procedure', 'view', 'function', 'table', 'trigger') or path like '%.sql') s, (kind in ('connection_string', 'database_target', 'app_setting') or path like '%.config') c from base),
         res as (select *, not s and not c and typ in ('File', 'Chunk', 'Module') k from doms)
         select id, hops, concat_ws(',', case when s then 'sql' end, case when c then 'config' end, case when k then 'code' end) domains,
@@ -291,12 +291,12 @@ SQL = {
     "entity_candidates": f"with {X.ALL} select entity_type, count(*) n from ents where lower(status) <> 'deprecated' group by 1",
     "part_of_edges": f"with {X.CHUNKS}, {X.PART_OF} select * from part_of",
     "relation_union": f"with {X.ALL} select distinct from_id, relation, to_id, note from rels",
-    "dangling_edge_filter": f"with {X.ALL} select relation, count(*) n, count(*) filter (from_id in (select id from ents) and to_id in (select id from ents)) kept from stored group by 1",
+    "dangling_edge_filter": f"with {X.ALL} select relation, count(*) n, count(*) filter (from_id in (select id from ents union select id from files) and to_id in (select id from ents union select id from files)) kept from stored group by 1",
     "degree": f"with {X.ALL} select * from degree",
     "top_connected": f"with {X.RELATIONS} select id, count(*) degree from (select from_id id from stored union all select to_id from stored) group by id order by 2 desc, 1 limit 5",
     "rule_links": f"""with {X.RELATIONS}, l as (select to_id id, from_id r, ord from stored where relation = 'CONSTRAINS' union all select from_id, to_id, ord from stored where relation = 'IMPLEMENTS')
         select id, string_agg(r, ',' order by ord, r) rules from l group by id""",
-    "relation_signals": f"""with {X.ALL}, labels as (select id, case when entity_type = 'Module' and "label" = '' then path else "label" end lab from ents),
+    "relation_signals": f"""with {X.ALL}, labels as (select id, case when entity_type = 'Module' and "label" = '' then path else "label" end lab from ents union select id, path from files),
         s as (select r.*, coalesce(a.lab, from_id) src, coalesce(b.lab, to_id) tgt from stored r left join labels a on a.id = from_id left join labels b on b.id = to_id where relation in ('CALLS', 'IMPORTS')),
         l as (select from_id id, ord, 0 side, concat_ws(' ', lower(relation), nullif(note, ''), tgt) line from s union all select to_id, ord, 1, concat_ws(' ', 'affected_by', lower(relation), nullif(note, ''), src) from s)
         select id, md5(string_agg(line, chr(10) order by ord, side, line)) signals_hash from l group by id""",
@@ -307,7 +307,7 @@ SQL = {
         union all select c.id, 'Chunk', name, coalesce(f.path, ''), c.status, c.source_of_truth from pieces c left join files f on f.id = c.file_id
         union all select id, 'ADR', title, path, 'active', true from records
         union all select id, 'Module', coalesce(nullif(name, ''), path), path, status, source_of_truth from mods""",
-    "node_edge_counts": f"with {X.ALL} select entity_type \"name\", count(*) n from ents group by 1 union all select relation, count(*) from rels group by 1",
+    "node_edge_counts": f"with {X.ALL}, k as (select 'File' t from files union all select 'Rule' from ruleset union all select 'Chunk' from pieces union all select 'Module' from mods union all select 'ADR' from records) select t \"name\", count(*) n from k group by 1 union all select relation, count(*) from rels group by 1",
     "rules_by_scope": f"with {X.RULES} select id, title, \"scope\", priority, status from ruleset where \"scope\" in ('api', 'global') and status = 'active'",
     "adr_shadowing": f"with {X.FILES}, {X.ADRS} select id, kind from files where not (kind = 'ADR' and lower(trim(path)) in (select lower(trim(path)) from records))",
     "lexical_search_topk": scored_sql() + top_sql(20) + " select id, entity_type, path, round(score, 6) score, round(lex, 6) lexical_score from best",
