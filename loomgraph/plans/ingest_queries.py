@@ -376,6 +376,7 @@ _STOP = X.sql_list(I.STOP_WORDS)
 _KEYS = "list_distinct(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: length(w) >= 3 and not list_contains(" + _STOP + ", w)))"
 
 
+_KEY = "regexp_replace(regexp_replace(lower(replace({x}, '&amp;', '&')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _TDIR = f"(select regexp_replace(t, '/[^/]*$', '') from (select {_TARGET} t))"
 _TIER = f"""case when path = {_TARGET} then 'same_file' when path <> '' and {_DIR} = {_TDIR} then 'same_module'
         when instr({_TDIR}, '/') > 0 and starts_with(path, regexp_replace({_TDIR}, '/[^/]*$', '') || '/') then 'same_feature_area' else 'repo_wide' end"""
@@ -463,6 +464,18 @@ SQL = {
         sp as (select *, coalesce(lead(i) over (partition by id order by i), (select max(i) + 1 from ln where ln.id = mk.id)) e from mk),
         bd as (select s.id, s.i, s.e, s.nm, s.h, regexp_replace(string_agg(l.x, chr(10) order by l.i), '\s+$', '') body, bool_or(trim(regexp_replace(l.x, '\s', '', 'g')) <> '' and (not s.h or l.i > s.i)) full_ from sp s join ln l on l.id = s.id and l.i >= s.i and l.i < s.e group by all)
         select id file_id, nm "name", i::int start_line, greatest(i, e - 1)::int end_line, md5(body) body_hash from bd where full_""",
+    "import_links": RQ._BASE + r""", im as (select distinct s.from_id, s.note target, case when instr(fl.path, '/') > 0 then regexp_replace(fl.path, '/[^/]*$', '') else '.' end dir
+            from (select distinct rel_id, from_id, upper(relation) relation, note from relations where from_id <> '' and to_id <> '') s join pieces pc on pc.id = s.from_id join files fl on fl.id = pc.file_id where s.relation = 'IMPORTS' and s.note like './%'),
+        p as (select from_id, target, regexp_replace(regexp_replace(case when dir = '.' then '' else dir || '/' end || target, '(^|/)\./', '\1', 'g'), '[^/]+/\.\./', '', 'g') p from im),
+        ex as (select unnest(['.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs', '.json']) e, unnest(generate_series(1, 9)) k),
+        c as (select from_id, target, p cand, 0 pos from p union all select from_id, target, p || e, k from p, ex union all select from_id, target, p || '/index' || e, 9 + k from p, ex
+              union all select from_id, target, regexp_replace(p, '\.(js|jsx|mjs|cjs)$', '') || e, 18 + k from p, ex where k <= 4 and regexp_matches(p, '\.(js|jsx|mjs|cjs)$'))
+        select from_id, target, arg_min(files.id, pos) to_id from c join files on files.path = cand group by 1, 2""",
+    "config_entries": RQ._BASE + rf""", cl as (select id, unnest(string_split(content, chr(10))) x, generate_subscripts(string_split(content, chr(10)), 1) i from f where ext = '.config' and content <> ''),
+        ad as (select id, i, unnest(regexp_extract_all(x, '(?i)<add\b[^>]+?/?>')) m from cl), kv as (select id, i, {_KEY.format(x="regexp_extract(m, '\\bkey=\"([^\"]*)\"', 1)")} k, {_KEY.format(x="regexp_extract(m, '\\bname=\"([^\"]*)\"', 1)")} n,
+        regexp_extract(m, '\bconnectionString="([^"]*)"', 1) <> '' c from ad)
+        select id file_id, 'app_setting.' || k "name", 'app_setting' kind, i::int start_line from kv where not (n <> '' and c) and k <> '' union all select id, 'connection_string.' || n, 'connection_string', i::int from kv where n <> '' and c
+        union all select id, 'database_target.' || n, 'database_target', i::int from kv where n <> '' and c""",
     "pattern_tiers": f"""with {X.FILES}, t as (select {_TARGET} target), f as (select path, target, {_DIR} dir, regexp_replace(target, '/[^/]*$', '') tdir from files, t)
         select case when path = target then 'same_file' when dir = tdir then 'same_module' when instr(tdir, '/') > 0 and starts_with(path, regexp_replace(tdir, '/[^/]*$', '') || '/') then 'same_feature_area' else 'repo_wide' end tier, count(*) n from f group by 1""",
 }
