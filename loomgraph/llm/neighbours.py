@@ -26,7 +26,7 @@ MAX_LISTS = 65_536
 #: Lists that one vector goes to, and how much farther than the nearest centroid theirs may be.
 REPLICAS, RATIO = 6, 1.25
 #: Sampled vectors for the coarse parts, which are fitted in the driver, and for each list, which are fitted on the executors.
-COARSE_ROWS, SAMPLE_PER_LIST = 8_192, 64
+COARSE_ROWS, SAMPLE_PER_LIST = 8_192, 32
 #: Links of a centroid, and centroids that a search keeps in view. So few centroids as are in view at once are all looked at.
 GRAPH_LINKS, BEAM = 24, 32
 
