@@ -88,12 +88,14 @@ def evidence(heads: DataFrame, texts: DataFrame, words: list[str]) -> DataFrame:
     """``(id, matched, score)``: sum of the weights of the words in a text, 1.5 for each in the path, 2 in name or signature.
 
     ``heads(id, path, name, signature)`` are the entities that count for the weights; ``texts(id, text)`` may
-    give a text in parts. Texts without a word are dropped where they are read.
+    give a text in parts, or be a function as for ``search.matches``. Texts without a word are dropped where they
+    are read.
     """
     low, some = F.lower("text"), F.lit(False)
     for w in words:
         some = some | low.contains(w)
-    found = texts.where(some).select("id", terms_among(F.col("text"), words).alias("tokens")).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens")).where(F.size("tokens") > 0)
+    each = lambda rows: rows.where(some).select(*[c for c in rows.columns if c != "text"], terms_among(F.col("text"), words).alias("tokens"))
+    found = (texts(each) if callable(texts) else each(texts)).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens")).where(F.size("tokens") > 0)
     found = found.join(heads.select("id"), "id", "left_semi")
     weight = F.broadcast(ST.idf(found, heads, words).agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("_w")))
     asked = F.array(*[F.lit(w) for w in words])

@@ -197,7 +197,7 @@ def lexical_evidence(spark: SparkSession, d: str) -> DataFrame:
     weights = F.broadcast(S.idf(found, heads, words).groupBy().pivot("token", words).agg(F.first("idf")))
     some = heads.join(found, "id").crossJoin(weights)
     score = sum((F.when(F.array_contains("tokens", w), F.col(w)).otherwise(0.0) for w in words), F.lit(0.0))
-    score = score + T.overlap(words, F.col("path_tokens")) * 1.5 + T.overlap(words, F.col("label_tokens")) * 2
+    score = score + T.overlap(words, T.tokens_among(F.col("path"), words)) * 1.5 + T.overlap(words, T.tokens_among(F.col("label"), words)) * 2
     return some.select("id", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(25)
 
 
